@@ -1,11 +1,12 @@
 """N-gram Jaccard join by a token-group matrix.
 
 1. Texts with the same shingle set form a class; one document stands for it.
-2. Similar classes are partitioned into groups: each is verified against the smallest class that shares one of its
-   lowest shingle hashes, and verified links are closed into groups. Only stars are verified here, never all pairs.
+2. Similar classes are partitioned into groups: each is verified against the most central of the classes that share one of
+   its lowest shingle hashes, and verified links are closed into groups. Only stars are verified here, never all pairs.
 3. The matrix holds, for each group, the union of its members' prefix tokens in one global order, rare tokens first.
    A query class reads the matrix rows of its prefix tokens; the count of those found in a group bounds its overlap with
-   any member, and a group that is not the query's own is opened only if that bound allows the threshold.
+   any member whose prefix ends no earlier than its own, and a group that is not the query's own is opened only if that
+   bound allows the threshold. Of two classes one is such a query for the other.
 4. In an opened group the same bound is taken member by member from both sides; what passes is verified on whole texts.
 
 The prefix of a set of n shingles is its first n - ceil(t * n) + 1 tokens: two sets that link share one at least, so no
@@ -124,15 +125,18 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     sigs = saved(docs.mapInArrow(_signatures(k, num, den, counts), schema))
 
     filled = sigs.where("n > 0")
-    classes = saved(filled.groupBy("d1", "d2").agg(F.min("id").alias("rep")))
-    member = sigs.select("id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
-    reps = filled.join(classes.withColumnRenamed("rep", "id"), ["id", "d1", "d2"], "left_semi").dropDuplicates(["id", "d1", "d2"]).select("id", "d1", "n", "stars", "prefix")
+    classes = saved(filled.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    member = sigs.select("id", "n", "d1", "d2").join(classes.drop("copies"), ["d1", "d2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
+    reps = filled.join(classes.withColumnRenamed("rep", "id"), ["id", "d1", "d2"]).dropDuplicates(["id", "d1", "d2"]).select("id", "d1", "n", "copies", "stars", "prefix")
     # a repeated id ties its classes together
     again = member.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("id")
     tied = member.join(again, "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
-    star = saved(reps.select("id", "d1", "n", F.explode("stars").alias("token")))
-    centre = star.groupBy("token").agg(F.min(F.struct("n", "id", "d1")).alias("c"), F.count("*").alias("m")).where("m > 1").select("token", F.col("c.n").alias("cn"), F.col("c.id").alias("a"), F.col("c.d1").alias("da"))
+    # what others were made from is likely the text with the most copies, then the one whose lowest hashes most others have
+    star = reps.select("id", "d1", "n", "copies", F.explode("stars").alias("token"))
+    star = saved(star.join(star.groupBy("token").agg(F.count("*").alias("m")), "token").where("m > 1"))
+    known = star.groupBy("id", "d1").agg(F.sum("m").alias("known"))
+    centre = star.join(known, ["id", "d1"]).groupBy("token").agg(F.min(F.struct((-F.col("copies")).alias("few"), (-F.col("known")).alias("unknown"), "id", "n", "d1")).alias("c")).select("token", F.col("c.n").alias("cn"), F.col("c.id").alias("a"), F.col("c.d1").alias("da"))
     near = (
         star.join(centre, "token")
         .where((F.col("a") != F.col("id")) & (F.col("cn") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("cn") * num))
@@ -144,16 +148,16 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     by_group = reps.join(groups, reps["id"] == groups["node"], "left").select("id", "d1", "n", "prefix", F.coalesce("component", "id").alias("g"))
     by_group = saved(by_group)
-    rows = by_group.select("id", "d1", "g", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("token"))
+    rows = by_group.select("id", "d1", "g", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"), F.explode("prefix").alias("token"))
     # tokens of one group only can't lead to another: most rows end here
     shared = rows.selectExpr("*", "min(g) OVER (PARTITION BY token) AS low", "max(g) OVER (PARTITION BY token) AS high").where("low <> high").drop("low", "high")
     shared = saved(shared)
-    matrix = shared.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    matrix = shared.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("last").alias("most_last"))
     ratio = F.lit(num / (num + den))
     slack = 1e-6
     opened = (
         shared.join(matrix, "token")
-        .where((F.col("g") != F.col("h")) & (F.col("most_n") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("least_n") * num))
+        .where((F.col("g") != F.col("h")) & (F.col("last") <= F.col("most_last")) & (F.col("most_n") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("least_n") * num))
         .groupBy("id", "d1", "h")
         .agg(F.count("*").alias("found"), F.min("least_n").alias("least_n"), F.first("n").alias("n"), F.first("p").alias("p"))
         .where(F.col("found") + F.col("n") - F.col("p") >= F.ceil(ratio * (F.col("n") + F.greatest("least_n", F.ceil(F.col("n") * num / den - slack))) - slack))
