@@ -4,9 +4,9 @@
 2. Similar classes are partitioned into groups: each is verified against the most central of the classes that share one of
    its lowest shingle hashes, and verified links are closed into groups. Only stars are verified here, never all pairs.
 3. The matrix holds, for each group, the union of its members' prefix tokens in one global order, rare tokens first.
-   A query class reads the matrix rows of its prefix tokens; the count of those found in a group bounds its overlap with
-   any member whose prefix ends no earlier than its own, and a group that is not the query's own is opened only if that
-   bound allows the threshold. Of two classes one is such a query for the other.
+   A query class reads the matrix rows of its prefix tokens. The tokens found in a group, with what stands behind them in
+   query and group, bound its overlap with any member; a group that is not the query's own is opened only if that bound
+   allows the threshold. Of two classes the one whose prefix ends first is the query.
 4. In an opened group the same bound is taken member by member from both sides; what passes is verified on whole texts.
 
 The prefix of a set of n shingles is its first n - ceil(t * n) + 1 tokens: two sets that link share one at least, so no
@@ -146,21 +146,25 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     links = saved(_verify(near, docs, classes, k, num, den).union(tied))
     groups = saved(components(links))
 
-    by_group = reps.join(groups, reps["id"] == groups["node"], "left").select("id", "d1", "n", "prefix", F.coalesce("component", "id").alias("g"))
+    by_group = reps.join(groups, reps["id"] == groups["node"], "left").select("id", "d1", "n", "prefix", F.coalesce("component", "id").alias("g"), F.col("component").isNotNull().alias("many"))
     by_group = saved(by_group)
-    rows = by_group.select("id", "d1", "g", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"), F.explode("prefix").alias("token"))
+    rows = by_group.select("id", "d1", "g", "many", "n", F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("pos", "token"))
     # tokens of one group only can't lead to another: most rows end here
     shared = rows.selectExpr("*", "min(g) OVER (PARTITION BY token) AS low", "max(g) OVER (PARTITION BY token) AS high").where("low <> high").drop("low", "high")
     shared = saved(shared)
-    matrix = shared.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("last").alias("most_last"))
+    rest = F.col("n") - F.col("pos")
+    matrix = shared.groupBy("token", F.col("g").alias("h"), F.col("many").alias("many_h")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("last").alias("most_last"), F.max(rest).alias("most_rest"))
     ratio = F.lit(num / (num + den))
     slack = 1e-6
+    # the overlap that the threshold asks for with any member of the group
+    need = F.ceil(ratio * (F.col("n") + F.greatest("least_n", F.ceil(F.col("n") * num / den - slack))) - slack)
     opened = (
         shared.join(matrix, "token")
         .where((F.col("g") != F.col("h")) & (F.col("last") <= F.col("most_last")) & (F.col("most_n") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("least_n") * num))
-        .groupBy("id", "d1", "h")
-        .agg(F.count("*").alias("found"), F.min("least_n").alias("least_n"), F.first("n").alias("n"), F.first("p").alias("p"))
-        .where(F.col("found") + F.col("n") - F.col("p") >= F.ceil(ratio * (F.col("n") + F.greatest("least_n", F.ceil(F.col("n") * num / den - slack))) - slack))
+        .where((rest >= need) & (F.col("most_rest") >= need))
+        .groupBy("id", "d1", "h", "many_h")
+        .agg(F.count("*").alias("found"), F.least(F.min(rest), F.min("most_rest")).alias("left"), F.max(need).alias("need"))
+        .where(F.col("many_h") | (F.col("found") + F.col("left") - 1 >= F.col("need")))
         .select("id", "d1", "h")
     )
     x = by_group.select(F.col("id").alias("a"), F.col("d1").alias("da"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
