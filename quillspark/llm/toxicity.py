@@ -128,7 +128,10 @@ def train(labelled: DataFrame, text_column: str = "text", label_column: str = "t
     small_batches(labelled.sparkSession)
     swaps = labelled.sparkSession.sparkContext.broadcast(term_swaps())
     rows = labelled.where(F.col(label_column).isNotNull()).select(F.coalesce(F.col(text_column), F.lit("")).alias("text"), (F.col(label_column) != 0).alias("y"))
-    sample = saved(rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"]).orderBy("h", "y").limit(max_rows))
+    rows = saved(rows.withColumn("h", F.xxhash64("text")))
+    # the bound is drawn on hashes alone, so that texts stay spread over the tasks
+    drawn = rows.select("h", "y").distinct().orderBy("h", "y").limit(max_rows)
+    sample = saved(rows.join(drawn, ["h", "y"], "left_semi").dropDuplicates(["h", "y"]))
     totals = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     ones, zeros = totals.get(True, 0), totals.get(False, 0)
 
