@@ -29,7 +29,7 @@ class Options:
     color: str = "auto"
     glyphs: str = "bmp"
     width: int | None = None
-    italics: bool = False
+    italics: bool | None = None
     links: str = "off"
     title: str = ""
     hard_line_breaks: bool = False
@@ -99,9 +99,13 @@ def man_name(path: str, doc: Doc, title: str = "") -> tuple[str, str]:
 
 def render(doc: Doc, path: str = "", options: Options = Options()) -> str:
     raw, level = options.glyphs == "ascii", "full" if options.glyphs == "full" else "bmp"
-    if options.to in ("term", "ansi", "plain"):
-        color = "none" if options.to == "plain" else options.color if options.color in ("none", "16", "true") else "16"
-        return TerminalWriter(color, level, max(20, options.width) if options.width else 80, options.italics, raw, "osc8" if options.links == "osc8" else "off").write(doc)
+    columns = 80 if options.width is None else max(20, options.width)
+    if options.to == "plain":
+        return TerminalWriter("none", level, columns, False, raw).write(doc)
+    if options.to in ("term", "ansi"):
+        color = options.color if options.color in ("none", "16", "true") else "16"
+        italics = color == "true" if options.italics is None else options.italics
+        return TerminalWriter(color, level, columns, italics, raw, "osc8" if options.links == "osc8" else "off").write(doc)
     if options.to == "html":
         return HtmlWriter(options.standalone, options.title or doc.meta.title or path, level, raw).write(doc)
     if options.to in ("latex", "tex"):

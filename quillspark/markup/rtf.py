@@ -16,7 +16,7 @@ _SKIPPED = frozenset(
 _TYPED = {
     "tab": "\t", "nestcell": "\t", "bullet": "•", "emdash": "—", "endash": "–", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "enspace": " ", "emspace": " ",
 }
-_SIGNS = {"{": "{", "}": "}", "\\": "\\", "~": " ", "_": "‑"}
+_SIGNS = {"{": "{", "}": "}", "\\": "\\", "~": "\xa0", "_": "\u2011"}
 _FORMATS = {"b": "bold", "i": "ital", "strike": "strike"}
 
 

@@ -120,7 +120,7 @@ class _Parser:
         self.at += 1
         sign = self.take()
         if sign in (",", ";", ":"):
-            return ("char", " ")
+            return ("char", "\u2009")
         return ("char", " " if sign == "\\" else sign or "\\")
 
     def command(self, name: str) -> tuple:
