@@ -119,8 +119,8 @@ def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.nda
     return Model(keys, w, float(b))
 
 
-def train(labelled: DataFrame, text_column: str = "text", label_column: str = "toxic", max_rows: int = 16000, max_features: int = 20000, min_rows: int = 3) -> Model:
-    """Fits the model on at most max_rows labelled rows, those of the smallest text hash, and max_features features.
+def train(labelled: DataFrame, text_column: str = "text", label_column: str = "toxic", max_features: int = 20000, min_rows: int = 3) -> Model:
+    """Fits the model on the labelled rows, whose number train_on bounds, with max_features features at most.
 
     Rows with a null label are left out; a null text is empty. Rows of equal text and label count once. Without both labels
     the model gives their prior alone.
@@ -128,10 +128,7 @@ def train(labelled: DataFrame, text_column: str = "text", label_column: str = "t
     small_batches(labelled.sparkSession)
     swaps = labelled.sparkSession.sparkContext.broadcast(term_swaps())
     rows = labelled.where(F.col(label_column).isNotNull()).select(F.coalesce(F.col(text_column), F.lit("")).alias("text"), (F.col(label_column) != 0).alias("y"))
-    rows = saved(rows.withColumn("h", F.xxhash64("text")))
-    # the bound is drawn on hashes alone, so that texts stay spread over the tasks
-    drawn = rows.select("h", "y").distinct().orderBy("h", "y").limit(max_rows)
-    sample = saved(rows.join(drawn, ["h", "y"], "left_semi").dropDuplicates(["h", "y"]))
+    sample = saved(rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"]))
     totals = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     ones, zeros = totals.get(True, 0), totals.get(False, 0)
 
@@ -202,10 +199,14 @@ def held_out(id_column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train_on(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    """Trains on docs' texts that labels marks and held_out leaves; only texts that may be labelled are shuffled."""
+def train_on(docs: DataFrame, labels: DataFrame, max_rows: int = 16000, **options) -> Model:
+    """Trains on at most max_rows labelled documents that held_out leaves, those of the smallest hash of their id.
+
+    The bound is drawn on labels before any text is read, and only texts that may be in the sample are shuffled.
+    """
     small_batches(docs.sparkSession)
-    ids = saved(labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).select(F.col("doc_id").cast("long").alias("id"), "toxic"))
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).select(F.col("doc_id").cast("long").alias("id"), "toxic").distinct()
+    ids = saved(known.orderBy(F.xxhash64("id"), "id", "toxic").limit(max_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text"))
     return train(maybe_in(texts, "id", bitmap(ids, "id")).join(ids, "id").select("text", "toxic"), **options)
 
