@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,5 +108,7 @@ def per_batch(make: Callable) -> Callable:
         for batch in batches:
             if batch.num_rows:
                 yield from make(batch)
+        # workers live on between tasks: what they don't use any more goes back
+        pa.default_memory_pool().release_unused()
 
     return run

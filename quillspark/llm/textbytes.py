@@ -107,7 +107,7 @@ def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
             yield np.empty(0, dtype=np.uint64)
 
 
-def slices(column: pa.Array, lower: bool = True, limit: int = 2 << 20) -> Iterator[tuple[int, int, Texts]]:
+def slices(column: pa.Array, lower: bool = True, limit: int = 1 << 19) -> Iterator[tuple[int, int, Texts]]:
     """Cuts a string column between texts into slices of about ``limit`` bytes: first row, row after the last, texts.
 
     Nulls count as empty texts. A text longer than the limit makes a slice of its own.
