@@ -79,7 +79,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(words), -40, 40)))
 
 
-def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.ndarray, keys: np.ndarray, l2: float = 0.02, counterfactual: float = 5.0, steps: int = 400) -> Model:
+def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.ndarray, keys: np.ndarray, l2: float = 0.004, counterfactual: float = 5.0, steps: int = 400) -> Model:
     """Fits weights of the given feature keys on texts' feature arrays; swapped holds the counterfactual copies' arrays."""
 
     def csr(arrays):
