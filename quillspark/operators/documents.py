@@ -21,6 +21,14 @@ def _clean(value):
     return value.encode("utf-8", "replace").decode() if isinstance(value, str) and not value.isascii() and any("\ud800" <= c < "\ue000" for c in value) else value
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table that lies in fewer partitions than there are cores, over all of them; larger ones are left as they are."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def flat_map(df: DataFrame, inputs: list[str], make: Callable[..., Iterator[tuple]], keep: list[str], schema: str) -> DataFrame:
     """For each row the kept columns and, for each tuple that make gives for its inputs, the tuple's columns."""
     fields = StructType([df.schema[c] for c in keep] + list(_parse_datatype_string(schema).fields))
@@ -39,7 +47,7 @@ def flat_map(df: DataFrame, inputs: list[str], make: Callable[..., Iterator[tupl
             made = [pa.array(list(c), arrow.field(len(keep) + i).type) for i, c in enumerate(zip(*rows, strict=True))] if rows else [pa.array([], f.type) for f in list(arrow)[len(keep) :]]
             yield pa.RecordBatch.from_arrays([*kept, *made], names=[f.name for f in fields])
 
-    return df.select(*keep, *[F.col(c).alias(f"__{i}") for i, c in enumerate(inputs)]).mapInArrow(run, fields)
+    return spread(df.select(*keep, *[F.col(c).alias(f"__{i}") for i, c in enumerate(inputs)])).mapInArrow(run, fields)
 
 
 def _bytes(content) -> bytes:
@@ -316,6 +324,37 @@ def odf_styles(df: DataFrame, keep: list[str], content_column: str = "content")
     return flat_map(df, [content_column], make, keep, "name string, bold boolean, italic boolean, strike boolean, mono boolean")
 
 
+def docx_relationships(df: DataFrame, keep: list[str], content_column: str = "content") -> DataFrame:
+    """Identifiers and targets of a docx file's main document, the first target of each identifier."""
+    return flat_map(df, [content_column], lambda c: list(_docx_parts(_bytes(c)).targets.items()), keep, "rel_id string, target string")
+
+
+def docx_numbering(df: DataFrame, keep: list[str], content_column: str = "content") -> DataFrame:
+    """The number format of each list and level of a docx file."""
+
+    def make(content):
+        reader = _docx_parts(_bytes(content))
+        return [(number, level, form) for number, kind in reader.lists.items() for level, form in sorted(reader.formats.get(kind, {}).items())]
+
+    return flat_map(df, [content_column], make, keep, "num_id string, level int, format string")
+
+
+def _docx_parts(data: bytes) -> office._Docx:
+    try:
+        members = archive.members(data)
+    except archive.ArchiveError:
+        members = []
+
+    def part(name: str):
+        member = archive.find(members, name)
+        try:
+            return xmlevents.tree(office._member(data, member)) if member else None
+        except office.FormatError:
+            return None
+
+    return office._Docx(part("word/_rels/document.xml.rels"), part("word/numbering.xml"))
+
+
 def decoded(df: DataFrame, keep: list[str], content_column: str = "content") -> DataFrame:
     """Bytes as text, with U+FFFD for what is no UTF-8."""
     return flat_map(df, [content_column], lambda c: [(None if c is None else xmlevents.decode_utf8(_bytes(c)),)], keep, "text string")

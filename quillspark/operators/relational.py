@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -62,3 +62,31 @@ def combined(parts: DataFrame, key: str, order: str, text_column: str = "text",
         F.count(text_column).alias("n_parts"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(text_column).isNotNull(), F.struct(order, text_column)))), lambda x: x[text_column]), separator).alias(text_column),
     )
+
+
+def event_depths(events: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """XML events with ``open``: how many elements are open behind each. Ends too many count for nothing.
+
+    The running sum of starts and ends, less its least value so far where that is under 0; a window is one document.
+    """
+    inside = Window.partitionBy(*keys).orderBy("pos")
+    step = F.when(F.col("kind") == "start", 1).when(F.col("kind") == "end", -1).otherwise(0)
+    summed = events.withColumn("__sum", F.sum(step).over(inside))
+    return summed.withColumn("open", (F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(inside))).cast("int")).drop("__sum")
+
+
+def element_texts(events: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """All text of each document's events in order."""
+    texts = events.where("kind = 'text'").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"))
+    return texts.select(*keys, F.array_join(F.transform("t", lambda x: x["text"]), "").alias("text"))
+
+
+def item_numbers(items: DataFrame, keys: tuple[str, ...] = ("doc_id",), start: int = 1, levels: int = 9) -> DataFrame:
+    """Items (keys, pos, depth) with their number from start, and the pos of the nearest item before that is less deep.
+
+    depth goes from 0 to levels; for each level the last place of an item no deeper is kept along the window.
+    """
+    inside = Window.partitionBy(*keys).orderBy("pos")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.array(*[F.max(F.when(F.col("depth") <= k, F.col("pos"))).over(before) for k in range(levels)])
+    return items.withColumn("number", F.row_number().over(inside) + (start - 1)).withColumn("parent_pos", F.when(F.col("depth") > 0, F.get(last, F.col("depth") - 1)))

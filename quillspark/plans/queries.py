@@ -488,3 +488,51 @@ def decoded_utf8(spark, sf_dir):
 def converted_documents(spark, sf_dir):
     """Every text as Markdown to HTML: the tests compare single texts with expected outputs."""
     return D.converted(table(spark, sf_dir, "documents"), Options(from_="markdown", to="html"), ["doc_id"], "text")
+
+
+@query("""SELECT n_nationkey, pos, kind, open FROM nation, LATERAL (SELECT * FROM (VALUES (0, 'start', 1), (1, 'text', 1), (2, 'start', 2), (3, 'end', 1), (4, 'end', 0), (5, 'end', 0)) AS v(pos, kind, open))""")
+def xml_depths(spark, sf_dir):
+    text = F.concat(F.lit("<r>"), "n_name", F.lit("<e/></r></x>"))
+    events = D.xml_events(table(spark, sf_dir, "nation").select("n_nationkey", text.alias("content")), ["n_nationkey"])
+    return R.event_depths(events, ("n_nationkey",)).select("n_nationkey", "pos", "kind", "open")
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<[^>]*>', '', 'gs'), '&lt;', '<', 'g'), '&gt;', '>', 'g'), '&quot;', chr(34), 'g'), '&amp;', '&', 'g') AS text FROM pages")
+def page_texts(spark, sf_dir):
+    events = D.xml_events(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("content")), ["page_id"])
+    return R.element_texts(events, ("page_id",))
+
+
+@query(
+    """WITH i AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS depth FROM conversations)
+    SELECT conv_id, turn AS pos, depth, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number, (SELECT coalesce(max(j.turn), -1) FROM i AS j WHERE j.conv_id = i.conv_id AND j.turn < i.turn AND j.depth < i.depth) AS parent_pos FROM i"""
+)
+def nested_items(spark, sf_dir):
+    depth = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
+    items = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), depth.alias("depth"), "text")
+    found = R.item_numbers(items, ("conv_id",))
+    return found.select("conv_id", "pos", "depth", "number", F.coalesce("parent_pos", F.lit(-1)).alias("parent_pos"))
+
+
+def _docx(spark, sf_dir):
+    rels = F.concat(F.lit('<Relationships><Relationship Id="r1" Target="http://x.org/'), "s_suppkey", F.lit('"/><Relationship Id="r1" Target="second"/><Relationship Id="r2" Target="m.png"/></Relationships>'))
+    numbering = F.lit('<w:numbering><w:abstractNum w:abstractNumId="5"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:num w:numId="7"><w:abstractNumId w:val="5"/></w:num></w:numbering>')
+    texts = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("<w:document/>").alias("body"), rels.alias("rels"), numbering.alias("numbering"))
+    return _zipped(texts, ["s_suppkey"], {"word/document.xml": "body", "word/_rels/document.xml.rels": "rels", "word/numbering.xml": "numbering"})
+
+
+@query("SELECT s_suppkey, v.rel_id, CASE v.rel_id WHEN 'r1' THEN 'http://x.org/' || s_suppkey ELSE 'm.png' END AS target FROM supplier, (VALUES ('r1'), ('r2')) AS v(rel_id)")
+def docx_relationships(spark, sf_dir):
+    return D.docx_relationships(_docx(spark, sf_dir), ["s_suppkey"])
+
+
+@query("SELECT s_suppkey, '7' AS num_id, v.level, v.format FROM supplier, (VALUES (0, 'decimal'), (1, 'bullet')) AS v(level, format)")
+def docx_numbering(spark, sf_dir):
+    return D.docx_numbering(_docx(spark, sf_dir), ["s_suppkey"])
+
+
+@query("""SELECT n_nationkey, '<p>' || CASE n_nationkey % 5 WHEN 0 THEN '€' WHEN 1 THEN '�' WHEN 2 THEN 'Œ' WHEN 3 THEN 'é' ELSE 'ÿ' END || CASE n_nationkey % 5 WHEN 0 THEN 'Ä' WHEN 1 THEN 'Å' WHEN 2 THEN 'å' WHEN 3 THEN 'È' ELSE 'ˇ' END || '</p>' || chr(10) AS output FROM nation""")
+def rtf_code_pages(spark, sf_dir):
+    code = F.element_at(F.array(*[F.lit(x) for x in ("80", "81", "8c", "e9", "ff")]), F.col("n_nationkey") % 5 + 1)
+    text = F.concat(F.lit("{\\rtf1\\ansi\\'"), code, F.lit("\\mac\\'"), code, F.lit("}"))
+    return D.converted(table(spark, sf_dir, "nation").select("n_nationkey", text.cast("binary").alias("content")), Options(to="html"), ["n_nationkey"]).select("n_nationkey", "output")
