@@ -13,12 +13,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, saved, small_batches
+from .common import bitmap, maybe_in, per_batch, saved, small_batches
 from .textbytes import SPACE, chain, mix, signed, slices
 
 DEPTH, AGREE, MIN_TOKENS, MIN_DOCS, CHUNK = 4, 0.7, 5, 2, 2000
@@ -89,13 +88,41 @@ def merge(lines: list[list[str]], agree: float = AGREE) -> tuple[list[int], list
     return of, templates
 
 
-def _merge_groups(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("hash")
-    of, templates = merge([t.split(" ") for t in pdf["template"]])
-    names = {}
-    for i, h in zip(of, pdf["hash"], strict=True):
-        names.setdefault(i, h)
-    return pd.DataFrame({"leaf": pdf["leaf"], "hash": pdf["hash"], "into": [names[i] for i in of], "template": [" ".join(templates[i]) for i in of]})
+def _merged(rows: DataFrame) -> DataFrame:
+    """Parses rows (leaf, chunk, hash, template) chunk by chunk: (leaf, hash, into, template), into being the least hash of a template.
+
+    Chunks are sorted runs of a partition's rows and are read as a stream, so that a task holds one chunk at a time.
+    """
+
+    def run(batches):
+        held: list[tuple[int, str]] = []
+        key = None
+
+        def parsed():
+            of, templates = merge([t.split(" ") for _, t in held])
+            names: dict[int, int] = {}
+            for i, (h, _) in zip(of, held, strict=True):
+                names.setdefault(i, h)
+            return [(key[0], h, names[i], " ".join(templates[i])) for i, (h, _) in zip(of, held, strict=True)]
+
+        def batch_of(out):
+            leaf, line, into, template = zip(*out, strict=True)
+            return pa.record_batch({"leaf": pa.array(leaf, pa.int64()), "hash": pa.array(line, pa.int64()), "into": pa.array(into, pa.int64()), "template": pa.array(template, pa.string())})
+
+        for batch in batches:
+            out = []
+            for leaf, chunk, line, template in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (leaf, chunk) != key:
+                    out += parsed() if held else []
+                    held, key = [], (leaf, chunk)
+                held.append((line, template))
+            if out:
+                yield batch_of(out)
+        if held:
+            yield batch_of(parsed())
+
+    sorted_ = rows.select("leaf", "chunk", "hash", "template").repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", "hash")
+    return sorted_.mapInArrow(run, "leaf long, hash long, into long, template string")
 
 
 def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -115,21 +142,20 @@ def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     wanted = saved(kinds.join(mixed, "leaf").select("leaf", "hash", "n", "at.*"))
     # one line's tokens for each hash that needs them
     per_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line", "leaf", "hash", "n")).alias("asked"))
-    fetch = docs.join(per_doc, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    fetch = maybe_in(docs, "doc_id", bitmap(wanted, "doc_id")).join(per_doc, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     tokens = saved(
         fetch.select(F.split("text", "\n", -1).alias("rows"), F.explode("asked").alias("a"))
         .select("a.leaf", "a.hash", "a.n", F.expr("element_at(rows, CAST(a.line + 1 AS INT))").alias("row"))
         .select("leaf", "hash", "n", F.expr(r"array_join(transform(filter(split(row, '[\\x20\\x09-\\x0d]+'), t -> t <> ''), t -> if(t rlike '[0-9]', '<*>', t)), ' ')").alias("template"))
     )
-    schema = "leaf long, hash long, into long, template string"
     chunked = tokens.withColumn("chunk", F.pmod(F.xxhash64("hash"), F.ceil(F.col("n") / CHUNK)))
-    done = saved(chunked.groupBy("leaf", "chunk").applyInPandas(_merge_groups, schema))
+    done = saved(_merged(chunked))
     while True:
         # the chunks' templates among themselves, as long as that leaves fewer
         tops = done.groupBy("leaf", F.col("into").alias("hash")).agg(F.min("template").alias("template"))
         sizes = tops.groupBy("leaf").agg(F.count("*").alias("n")).join(mixed.withColumnRenamed("n", "before"), "leaf").where(f"before > {CHUNK} AND n > 1")
         step = tops.join(sizes.select("leaf", "n"), "leaf").withColumn("chunk", F.pmod(F.xxhash64("hash", F.lit("again")), F.ceil(F.col("n") / CHUNK)))
-        again = saved(step.groupBy("leaf", "chunk").applyInPandas(_merge_groups, schema)).selectExpr("leaf", "hash AS into", "into AS next", "template AS wider")
+        again = saved(_merged(step)).selectExpr("leaf", "hash AS into", "into AS next", "template AS wider")
         if again.where("into <> next").isEmpty():
             break
         done = saved(done.join(again, ["leaf", "into"], "left").select("leaf", "hash", F.coalesce("next", "into").alias("into"), F.coalesce("wider", "template").alias("template")))
