@@ -16,17 +16,24 @@ def lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 def paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Runs of neighbouring text lines as id_column, first (line number), n_lines, text joined by spaces.
 
-    Runs are found inside each document's array of lines, so that no document's rows are shuffled.
+    Runs are cut out of each document's own array of lines: no row is shuffled, and no line is copied but into its run.
     """
-    rows = F.transform(T.split_lines(F.col(text_column)), lambda x, i: F.struct(i.alias("pos"), x.alias("line"), (T.line_kind(x) == "text").alias("plain")))
-    rows = docs.select(id_column, rows.alias("rows"))
-    numbered = F.transform("rows", lambda x, i: F.struct(x["pos"].alias("pos"), T.trim(x["line"]).alias("line"), x["plain"].alias("plain"), ((i == 0) | ~F.element_at("rows", F.greatest(i, F.lit(1)))["plain"]).alias("head")))
-    heads = F.transform(F.filter(numbered, lambda x: x["plain"] & x["head"]), lambda x: x["pos"])
-    out = rows.select(id_column, F.explode(heads).alias("first"), "rows")
-    rest = F.slice("rows", F.col("first") + 1, F.size("rows"))
-    stop = F.array_position(F.transform(rest, lambda x: x["plain"]), False)
-    run = F.when(stop > 0, F.slice(rest, F.lit(1), (stop - 1).cast("int"))).otherwise(rest)
-    return out.select(id_column, "first", F.size(run).alias("n_lines"), F.array_join(F.transform(run, lambda x: T.trim(x["line"])), " ").alias("text"))
+    plain = F.transform("lines", lambda x: T.line_kind(x) == "text")
+    rows = docs.select(id_column, T.split_lines(F.col(text_column)).alias("lines")).withColumn("plain", plain)
+    places = F.sequence(F.lit(1), F.size("plain"))
+    # beginnings and ends of runs, by places from 1
+    begins = F.filter(places, lambda i: F.get("plain", i - 1) & ~F.coalesce(F.get("plain", i - 2), F.lit(False)))
+    ends = F.filter(places, lambda i: F.get("plain", i - 1) & ~F.coalesce(F.get("plain", i), F.lit(False)))
+    rows = rows.where(F.size("plain") > 0).withColumn("begins", begins).withColumn("ends", ends)
+    runs = F.transform(
+        F.arrays_zip("begins", "ends"),
+        lambda r: F.struct(
+            (r["begins"] - 1).alias("first"),
+            (r["ends"] - r["begins"] + 1).alias("n_lines"),
+            F.array_join(F.transform(F.slice("lines", r["begins"], r["ends"] - r["begins"] + 1), T.trim), " ").alias("text"),
+        ),
+    )
+    return rows.select(id_column, F.inline(runs))
 
 
 def resolved_links(references: DataFrame, definitions: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
