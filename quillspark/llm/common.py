@@ -42,6 +42,15 @@ def bucket_sums(df: DataFrame, n: int, columns: Iterable[str]) -> list[np.ndarra
     return out
 
 
+def bucket_batches(counts: np.ndarray, rows: int = 1 << 16):
+    """A task's counts other than 0 as (bucket, n) in batches of bounded size."""
+    at = np.flatnonzero(counts)
+    for lo in range(0, len(at), rows):
+        part = at[lo : lo + rows]
+        yield pa.record_batch({"bucket": pa.array(part.astype(np.int32)), "n": pa.array(counts[part])})
+    pa.default_memory_pool().release_unused()
+
+
 def bitmap(ids: DataFrame, column: str, bits: int = 25) -> np.ndarray:
     """A bit array of 2 ** bits places in which every id's place is set: no id is missed, others may be let through."""
     place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << bits))

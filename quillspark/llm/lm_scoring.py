@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bucket_sums, maybe_in, per_batch, saved, small_batches
+from .common import bitmap, bucket_batches, bucket_sums, maybe_in, per_batch, saved, small_batches
 from .textbytes import Words, mix, slices
 
 WORD_BITS, PAIR_BITS, STRENGTH = 18, 20, 4.0
@@ -54,12 +54,17 @@ def _count(word_bits: int, pair_bits: int):
 
     def count(batches):
         total = np.zeros(n, dtype=np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
             for _, _, texts in slices(batch.column(0)):
                 w, before, pair = _cells(texts.words(), word_bits, pair_bits)
-                total += np.bincount(np.concatenate([w, before + split, pair + 2 * split + 1]), minlength=n)
-        at = np.flatnonzero(total)
-        yield pa.record_batch({"bucket": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
+                held += [w, before + split, pair + 2 * split + 1]
+                if sum(map(len, held)) > n:
+                    total += np.bincount(np.concatenate(held), minlength=n)
+                    held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=n)
+        yield from bucket_batches(total)
 
     return count, n
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bucket_sums, components, maybe_in, per_batch, saved, small_batches
+from .common import bitmap, bucket_batches, bucket_sums, components, maybe_in, per_batch, saved, small_batches
 from .textbytes import mix, shingle_sets, signed, slices, texts_of
 
 BUCKET_BITS = 20
@@ -40,8 +40,7 @@ def _counts(k: int):
             for _, _, texts in slices(batch.column(0)):
                 for tokens in shingle_sets(texts.words(), k):
                     np.add.at(seen, (tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
-        at = np.flatnonzero(seen)
-        yield pa.record_batch({"bucket": pa.array(at.astype(np.int32)), "n": pa.array(seen[at])})
+        yield from bucket_batches(seen)
 
     return count
 
