@@ -10,22 +10,27 @@ Ranks among the rests of equal length then place every piece without looking at
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_batch, saved, small_batches
 
+_LONG_SPACE = re.compile(r"\s{20000}")
+
 
 class Encoder:
     """Token ids as tokenizers gives them for a byte-level BPE file, without special tokens added.
 
-    The same merges are run by tiktoken, several times faster; where that can't be had the file is run by tokenizers itself.
+    The same merges are run by tiktoken, several times faster; a file that it can't run, and a text with a very long run of white space, on
+    which its pattern fails, are left to tokenizers itself.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -36,23 +41,21 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         try:
-            import tiktoken
-
             printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
             letters = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
             special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
             ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
             self.special = frozenset(special)
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        except (ImportError, KeyError, ValueError):
+        except (KeyError, ValueError):
             self.fast = None
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is not None:
+        if self.fast is not None and not _LONG_SPACE.search(text):
             try:
                 ids = self.fast.encode(text, allowed_special=self.special) if any(s in text for s in self.special) else self.fast.encode_ordinary(text)
                 return np.array(ids, dtype=np.uint32)
-            except (ValueError, BaseExceptionGroup):
+            except ValueError:
                 pass
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 

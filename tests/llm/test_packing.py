@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quillspark.llm.packing import Encoder, fill, pack, plan
+from quillspark.llm.packing import encoder, fill, pack, plan
 from quillspark.llm.queries import tokenizer
 
 
@@ -35,7 +35,7 @@ def test_plan_uses_every_piece(counts):
 @settings(max_examples=200, deadline=None)
 @given(st.text())
 def test_ids_are_those_of_tokenizers(text):
-    encode = Encoder(*tokenizer())
+    encode = encoder(*tokenizer())
     assert encode.fast is not None
     for t in (text, text + "<|endoftext|> x" + text, " " * 50 + text):
         assert encode(t).tolist() == encode.slow.encode(t, add_special_tokens=False).ids
@@ -45,7 +45,7 @@ def test_ids_are_those_of_tokenizers(text):
 def test_round_trip(spark, parts):
     r = random.Random(2)
     docs = [(i, " ".join(r.choices(["some", "words", "é", "\n", "12345"], k=r.choice([0, 3, 40, 300, 1500])))) for i in range(150)]
-    docs += [(500, None), (500, None), (501, ""), (None, "null id"), (502, "x" * 50000), (503, " " * 30000)]
+    docs += [(500, None), (500, None), (501, ""), (None, "null id"), (502, "x" * 50000), (503, " " * 30000), (504, "a" + "\n" * 1000000 + "b")]
     df = spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, length string").repartition(parts)
     got = pack(df, *tokenizer()).collect()
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
