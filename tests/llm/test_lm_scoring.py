@@ -6,8 +6,9 @@ from collections import Counter
 from quillspark.llm.lm_scoring import cross_entropy_difference
 
 
-def brute(docs, target, classes, strength):
+def brute(docs, target, strength):
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    vocabulary = len({w for _, t in docs for w in split(t)})
     models = []
     for ids in (target, None):
         uni, ctx, big = Counter(), Counter(), Counter()
@@ -24,7 +25,7 @@ def brute(docs, target, classes, strength):
         losses = []
         for uni, ctx, big in models:
             n = sum(uni.values())
-            p = [(big[a, b] + strength * (uni[b] + 1) / (n + classes)) / (ctx[a] + strength) for a, b in zip(["^", *w], w, strict=False)]
+            p = [(big[a, b] + strength * (uni[b] + 1) / (n + vocabulary)) / (ctx[a] + strength) for a, b in zip(["^", *w], w, strict=False)]
             losses.append(-sum(map(math.log, p)) / len(p) if p else 0.0)
         out.append((i, len(w), losses[0], losses[1]))
     return out
@@ -36,8 +37,8 @@ def test_against_dictionaries(spark):
     target = {i for i in range(0, 60, 3)}
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     t = spark.createDataFrame([(i, "x") for i in [*target, 3, None]], "doc_id long, text string")
-    got = sorted((x.doc_id, x.n_tokens, x.target_loss, x.background_loss, x.score) for x in cross_entropy_difference(d, t).collect())
-    want = sorted(brute(docs, target, 1 << 18, 4.0))
+    got = sorted((x.doc_id, x.n_tokens, x.target_loss, x.background_loss, x.score) for x in cross_entropy_difference(d, t, run=100).collect())
+    want = sorted(brute(docs, target, 4.0))
     assert [(a, b) for a, b, *_ in got] == [(a, b) for a, b, *_ in want]
     for g, w in zip(got, want, strict=True):
         assert math.isclose(g[2], w[2], abs_tol=1e-9) and math.isclose(g[3], w[3], abs_tol=1e-9) and math.isclose(g[4], w[2] - w[3], abs_tol=1e-9)
