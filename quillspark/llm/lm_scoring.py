@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +27,32 @@ from pyspark.sql import functions as F
 from .common import bitmap, maybe_in, saved, small_batches
 from .textbytes import mix, slices
 
-STRENGTH, RUN, PART_CHARS, LEAST_PARTS = 4.0, 1 << 20, 6 << 20, 64
+STRENGTH, RUN, PART_CHARS, LEAST_PARTS = 4.0, 1 << 19, 6 << 20, 64
 #: What stands before a text's first word.
 BOUNDARY = np.uint64(0x9E3779B97F4A7C15)
 _SENT = "task int, run int, part int, words binary, as_word binary, as_context binary, pairs binary, as_pair binary"
 _ANSWER = "task int, run int, part int, words binary, pairs binary, vocabulary long, background long, target long"
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Compressed, the first bytes of all numbers before their second bytes: most are small."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def _unpacked(packed: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _packed_keys(x: np.ndarray) -> bytes:
+    """Sorted hashes, as differences."""
+    return _packed(np.diff(x, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(packed, np.uint64), dtype=np.uint64)
+
+
 def _runs(batches, size: int):
     """The texts of a partition in runs: first the ids, then sizes in words, then the hashes of all words."""
     ids, sizes, words, held = [], [], [], 0
@@ -48,6 +68,8 @@ def _runs(batches, size: int):
                 ids, sizes, words, held = [], [], [], 0
     if ids:
         yield pa.chunked_array(ids, pa.int64()), np.concatenate(sizes), np.concatenate(words)
+    del ids, sizes, words
+    pa.default_memory_pool().release_unused()
 
 
 def _before(places: np.ndarray, sizes: np.ndarray, boundary: int) -> np.ndarray:
@@ -69,12 +91,11 @@ class Run:
         self.first, self.second = both // (n + 1), both % (n + 1)
         self.pairs = mix(self.words[self.first] * np.uint64(0xD6E8FEB86659FD93) + self.words[self.second])
         self.as_word, self.as_context = np.bincount(places, minlength=n + 1), np.bincount(before, minlength=n + 1)
-        part = lambda keys: (keys >> np.uint64(20)) % np.uint64(parts)
-        of_word, of_pair = part(self.words), part(self.pairs)
-        self.word_order, self.pair_order = np.argsort(of_word, kind="stable"), np.argsort(of_pair, kind="stable")
-        edges = np.arange(parts + 1, dtype=np.uint64)
-        self.word_cuts = np.searchsorted(of_word[self.word_order], edges)
-        self.pair_cuts = np.searchsorted(of_pair[self.pair_order], edges)
+        self.word_order, self.pair_order = np.argsort(self.words, kind="stable"), np.argsort(self.pairs, kind="stable")
+        # a part is a range of hashes
+        edges = np.array([(k << 64) // parts for k in range(parts)], dtype=np.uint64)
+        self.word_cuts = np.append(np.searchsorted(self.words[self.word_order], edges), n + 1)
+        self.pair_cuts = np.append(np.searchsorted(self.pairs[self.pair_order], edges), len(both))
 
     def sent(self):
         """For each part with an entry: its number, words, their counts as words and contexts, pairs and their counts."""
@@ -93,7 +114,7 @@ def _send(parts: int, size: int, of_target: bool):
                 continue
             found, places = np.unique(words, return_inverse=True)
             rows = list(zip(*Run(found, places, sizes, parts).sent(), strict=True))
-            packed = [pa.array([x.tobytes() for x in column], pa.binary()) for column in rows[1:]]
+            packed = [pa.array([(_packed_keys if x.dtype == np.uint64 else _packed)(x) for x in column], pa.binary()) for column in rows[1:]]
             n = len(rows[0])
             yield pa.record_batch([pa.array([task] * n, pa.int32()), pa.array([-1 if of_target else number] * n, pa.int32()), pa.array(rows[0], pa.int32()), *packed], names=["task", "run", "part", "words", "as_word", "as_context", "pairs", "as_pair"])
 
@@ -107,35 +128,31 @@ def _tokens(size: int):
             found, places = np.unique(words, return_inverse=True)
             ids = ids.combine_chunks()
             yield pa.record_batch(
-                [pa.array([task], pa.int32()), pa.array([number], pa.int32()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in (sizes.astype(np.int64), found, places.astype(np.uint32))]],
+                [pa.array([task], pa.int32()), pa.array([number], pa.int32()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), *[pa.array([x], pa.binary()) for x in (_packed(sizes.astype(np.int64)), _packed_keys(found), _packed(places.astype(np.uint32)))]],
                 names=["task", "run", "ids", "sizes", "words", "places"],
             )
 
     return tokens
 
 
-def _unpacked(column, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype=kind) for x in column.to_pylist()]
-
-
 def _totals(group: pa.Table) -> pa.Table:
     """Adds up one part's entries and answers its runs: counts in background and target, for words as words and as contexts."""
     runs = np.asarray(group["run"])
     answers: dict[str, list[bytes]] = {}
     facts = [0, 0, 0]
     for keys, counts in (("words", ("as_word", "as_context")), ("pairs", ("as_pair",))):
-        sent = _unpacked(group[keys], np.uint64)
+        sent = [_unpacked_keys(x) for x in group[keys].to_pylist()]
         ends = np.cumsum([0, *map(len, sent)])
         found, at = np.unique(np.concatenate(sent), return_inverse=True)
         target = np.repeat(runs < 0, np.diff(ends))
         sums = []
         for name in counts:
-            n = np.concatenate(_unpacked(group[name], np.uint32))
+            n = np.concatenate([_unpacked(x, np.uint32) for x in group[name].to_pylist()])
             sums += [np.bincount(at, np.where(target, 0, n), len(found)).astype(np.int64), np.bincount(at, np.where(target, n, 0), len(found)).astype(np.int64)]
         if keys == "words":
             facts = [int((sums[0] > 0).sum()), int(sums[0].sum()), int(sums[1].sum())]
         table = np.stack(sums)
-        answers[keys] = [table[:, at[a:b]].tobytes() for a, b, r in zip(ends[:-1], ends[1:], runs, strict=True) if r >= 0]
+        answers[keys] = [_packed(table[:, at[a:b]].ravel()) for a, b, r in zip(ends[:-1], ends[1:], runs, strict=True) if r >= 0]
     asked = np.flatnonzero(runs >= 0)
     out = [group["task"].take(pa.array(asked)).to_pylist(), runs[asked].tolist(), group["part"].take(pa.array(asked)).to_pylist(), answers["words"], answers["pairs"]]
     # one more row says how many words and tokens the part has
@@ -173,7 +190,7 @@ def cross_entropy_difference(
     def score(answered: pa.Table, told: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         for t in told.to_pylist():
-            sizes, found, places = np.frombuffer(t["sizes"], np.int64), np.frombuffer(t["words"], np.uint64), np.frombuffer(t["places"], np.uint32).astype(np.int64)
+            sizes, found, places = _unpacked(t["sizes"], np.int64), _unpacked_keys(t["words"]), _unpacked(t["places"], np.uint32).astype(np.int64)
             means = [np.zeros(len(sizes)), np.zeros(len(sizes))]
             if len(places):
                 own = Run(found, places, sizes, parts)
@@ -181,8 +198,8 @@ def cross_entropy_difference(
                 n = 0
                 for k, w, p in zip(*(answered[c].to_pylist() for c in ("part", "words", "pairs")), strict=True):
                     at_w, at_p = own.word_order[own.word_cuts[k] : own.word_cuts[k + 1]], own.pair_order[own.pair_cuts[k] : own.pair_cuts[k + 1]]
-                    by_word[:, at_w] = np.frombuffer(w, np.int64).reshape(4, len(at_w))
-                    by_pair[:, at_p] = np.frombuffer(p, np.int64).reshape(2, len(at_p))
+                    by_word[:, at_w] = _unpacked(w, np.int64).reshape(4, len(at_w))
+                    by_pair[:, at_p] = _unpacked(p, np.int64).reshape(2, len(at_p))
                     n += len(at_p)
                 if n != len(own.pairs) or not by_pair[0].all():
                     raise RuntimeError("docs came in other partitions when read again")
