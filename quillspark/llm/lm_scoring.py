@@ -5,7 +5,7 @@ Target and background are bigram models of the same form over one vocabulary, al
 A document's score is the mean over its tokens of the target's loss less the background's, in nats: lower means closer to
 the target.
 
-Counts are exact (by 64-bit hash), grow with the corpus and are never in one place:
+Counts are kept for every word (56 bits of its hash) and pair (48 bits), grow with the corpus and are never in one place:
 
 1. Texts are read in runs of about RUN tokens. A run sends its distinct words and pairs, with their counts in it, to parts
    by hash; a part is one row of packed arrays, so a word in every text is one entry for each run.
@@ -27,16 +27,18 @@ from pyspark.sql import functions as F
 from .common import bitmap, maybe_in, saved, small_batches
 from .textbytes import mix, slices
 
-STRENGTH, RUN, PART_CHARS, LEAST_PARTS = 4.0, 1 << 19, 6 << 20, 64
+STRENGTH, RUN, PART_CHARS, LEAST_PARTS = 4.0, 3 << 18, 6 << 20, 64
+#: Bits of a hash that stand for a word and for a pair.
+WORD_MASK, PAIR_MASK = np.uint64((1 << 64) - (1 << 8)), np.uint64((1 << 64) - (1 << 16))
 #: What stands before a text's first word.
-BOUNDARY = np.uint64(0x9E3779B97F4A7C15)
+BOUNDARY = np.uint64(0x9E3779B97F4A7C00)
 _SENT = "task int, run int, part int, words binary, as_word binary, as_context binary, pairs binary, as_pair binary"
 _ANSWER = "task int, run int, part int, words binary, pairs binary, vocabulary long, background long, target long"
 
 
 def _packed(x: np.ndarray) -> bytes:
     """Compressed, the first bytes of all numbers before their second bytes: most are small."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def _unpacked(packed: bytes, kind) -> np.ndarray:
@@ -61,7 +63,7 @@ def _runs(batches, size: int):
             own = texts.words()
             ids.append(batch.column(0).slice(lo, hi - lo))
             sizes.append(np.diff(own.bounds))
-            words.append(own.hash)
+            words.append(own.hash & WORD_MASK)
             held += len(own)
             if held >= size:
                 yield pa.chunked_array(ids, pa.int64()), np.concatenate(sizes), np.concatenate(words)
@@ -89,7 +91,7 @@ class Run:
         before = _before(places, sizes, n)
         both, self.pair_at, self.pair_counts = np.unique(before * (n + 1) + places, return_inverse=True, return_counts=True)
         self.first, self.second = both // (n + 1), both % (n + 1)
-        self.pairs = mix(self.words[self.first] * np.uint64(0xD6E8FEB86659FD93) + self.words[self.second])
+        self.pairs = mix(self.words[self.first] * np.uint64(0xD6E8FEB86659FD93) + self.words[self.second]) & PAIR_MASK
         self.as_word, self.as_context = np.bincount(places, minlength=n + 1), np.bincount(before, minlength=n + 1)
         self.word_order, self.pair_order = np.argsort(self.words, kind="stable"), np.argsort(self.pairs, kind="stable")
         # a part is a range of hashes
