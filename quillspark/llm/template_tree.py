@@ -5,7 +5,8 @@ wildcard. At a leaf, lines that agree in enough places share a template, in whic
 Templates that lines of several documents share recur; their lines are dropped, but for the first document that has them.
 
 Equal masked lines share a template by hash alone. Only leaves where several documents have different lines are parsed
-further, on one line for each hash: in chunks of bounded size first, then the chunks' templates among themselves.
+further, on one line for each hash and in the order of the hashes; every line is held against every template it can agree
+with, however many lines a leaf has.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import bitmap, maybe_in, per_batch, saved, small_batches
 from .textbytes import SPACE, chain, mix, signed, slices
 
-DEPTH, AGREE, MIN_TOKENS, MIN_DOCS, CHUNK = 4, 0.7, 5, 2, 2000
+DEPTH, AGREE, MIN_TOKENS, MIN_DOCS, CHUNK = 4, 0.7, 5, 2, 2000  # CHUNK: rows worked on or given out at once
+#: Lines of a leaf from which templates are looked up instead of tried one by one; the result is the same.
+INDEXED = 64
 WILDCARD = "<*>"
 _VARIABLE = np.uint64(0x2A2A2A2A2A2A2A2A)
 
@@ -69,9 +72,9 @@ def masked(line: str) -> list[str]:
     return [WILDCARD if re.search("[0-9]", t) else t for t in re.split("[\x20\x09-\x0d]+", line.strip("\x20\x09\x0a\x0b\x0c\x0d"))]
 
 
-def merge(lines: list[list[str]], agree: float = AGREE) -> tuple[list[int], list[list[str]]]:
+def merge(lines: list[list], agree: float = AGREE, wildcard=WILDCARD) -> tuple[list[int], list[list]]:
     """Parses lines of one leaf in order: for each the number of its template, and the templates with their wildcards."""
-    templates: list[list[str]] = []
+    templates: list[list] = []
     of = []
     for tokens in lines:
         best, where = -1.0, -1
@@ -80,7 +83,7 @@ def merge(lines: list[list[str]], agree: float = AGREE) -> tuple[list[int], list
             if same > best:
                 best, where = same, i
         if where >= 0 and best >= agree:
-            templates[where] = [a if a == b else WILDCARD for a, b in zip(templates[where], tokens, strict=True)]
+            templates[where] = [a if a == b else wildcard for a, b in zip(templates[where], tokens, strict=True)]
         else:
             where = len(templates)
             templates.append(tokens)
@@ -88,41 +91,97 @@ def merge(lines: list[list[str]], agree: float = AGREE) -> tuple[list[int], list
     return of, templates
 
 
+def parse(rows: np.ndarray, agree: float = AGREE) -> np.ndarray:
+    """What merge() gives for lines of numbered tokens (0 is the wildcard): for each line the number of its template.
+
+    Only places that differ between lines can part them. Cut into one block more than the places that may differ, a line
+    and a template that agree enough are equal in a whole block, so templates are looked up by their blocks and compared.
+    """
+    n, size = rows.shape
+    need = next(k for k in range(size + 1) if k / size >= agree)
+    places = np.flatnonzero((rows != rows[0]).any(axis=0))
+    if len(places) <= size - need:
+        return np.zeros(n, dtype=np.int64)
+    need -= size - len(places)
+    rows = np.ascontiguousarray(rows[:, places])
+    cuts = np.linspace(0, len(places), len(places) - need + 2).astype(np.int64)[:-1]
+    factor = mix(np.arange(1, len(places) + 1, dtype=np.uint64))
+    blocks = lambda r: np.add.reduceat(mix(r.astype(np.uint64) + np.uint64(1)) * factor, cuts, axis=-1)
+    templates = np.empty_like(rows)
+    found: list[dict[int, list[int]]] = [{} for _ in cuts]
+    of, count = np.empty(n, dtype=np.int64), 0
+    for lo in range(0, n, CHUNK):
+        for i, keys in enumerate(blocks(rows[lo : lo + CHUNK]).tolist(), lo):
+            near = sorted({t for k, held in zip(keys, found, strict=True) for t in held.get(k, ())})
+            where, best = -1, -1
+            if near:
+                same = (templates[near] == rows[i]).sum(axis=1)
+                at = int(same.argmax())
+                where, best = near[at], int(same[at])
+            if best >= need:
+                wider = np.where(templates[where] == rows[i], rows[i], 0)
+                before, after = blocks(templates[where]).tolist(), blocks(wider).tolist()
+                for old, new, held in zip(before, after, found, strict=True):
+                    if old != new:
+                        held[old].remove(where)
+                        held.setdefault(new, []).append(where)
+                templates[where] = wider
+            else:
+                where = count
+                templates[count] = rows[i]
+                count += 1
+                for k, held in zip(keys, found, strict=True):
+                    held.setdefault(k, []).append(where)
+            of[i] = where
+    return of
+
+
 def _merged(rows: DataFrame) -> DataFrame:
-    """Parses rows (leaf, chunk, hash, template) chunk by chunk: (leaf, hash, into, template), into being the least hash of a template.
+    """Parses rows (leaf, hash, template) leaf by leaf in the order of hash: (leaf, hash, into), into being the least hash of a template.
 
-    Chunks are sorted runs of a partition's rows and are read as a stream, so that a task holds one chunk at a time.
+    Leaves are sorted runs of a partition's rows and are read as a stream, so that a task holds one leaf at a time, its
+    tokens as numbers.
     """
 
     def run(batches):
-        held: list[tuple[int, str]] = []
+        hashes: list[int] = []
+        lines: list[np.ndarray] = []
+        numbers: dict[str, int] = {}
         key = None
-
-        def parsed():
-            of, templates = merge([t.split(" ") for _, t in held])
-            names: dict[int, int] = {}
-            for i, (h, _) in zip(of, held, strict=True):
-                names.setdefault(i, h)
-            return [(key[0], h, names[i], " ".join(templates[i])) for i, (h, _) in zip(of, held, strict=True)]
-
-        def batch_of(out):
-            leaf, line, into, template = zip(*out, strict=True)
-            return pa.record_batch({"leaf": pa.array(leaf, pa.int64()), "hash": pa.array(line, pa.int64()), "into": pa.array(into, pa.int64()), "template": pa.array(template, pa.string())})
+        out: list[pa.RecordBatch] = []
+
+        def end():
+            if len(lines) < INDEXED:
+                of = np.array(merge([x.tolist() for x in lines], wildcard=0)[0])
+            else:
+                of = parse(np.stack(lines))
+            line = np.array(hashes, dtype=np.int64)
+            # templates are numbered in the order of their first lines
+            into = line[np.unique(of, return_index=True)[1]][of]
+            out.append(pa.record_batch({"leaf": pa.array(np.full(len(line), key)), "hash": pa.array(line), "into": pa.array(into)}))
+
+        def given():
+            whole = pa.Table.from_batches(out).combine_chunks()
+            out.clear()
+            return whole.to_batches(max_chunksize=CHUNK)
 
         for batch in batches:
-            out = []
-            for leaf, chunk, line, template in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (leaf, chunk) != key:
-                    out += parsed() if held else []
-                    held, key = [], (leaf, chunk)
-                held.append((line, template))
+            for leaf, line, template in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if leaf != key:
+                    if lines:
+                        end()
+                    hashes, lines, numbers, key = [], [], {WILDCARD: 0}, leaf
+                hashes.append(line)
+                tokens = template.split(" ")
+                lines.append(np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokens), np.int32, len(tokens)))
             if out:
-                yield batch_of(out)
-        if held:
-            yield batch_of(parsed())
+                yield from given()
+        if lines:
+            end()
+            yield from given()
 
-    sorted_ = rows.select("leaf", "chunk", "hash", "template").repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", "hash")
-    return sorted_.mapInArrow(run, "leaf long, hash long, into long, template string")
+    sorted_ = rows.select("leaf", "hash", "template").repartition("leaf").sortWithinPartitions("leaf", "hash")
+    return sorted_.mapInArrow(run, "leaf long, hash long, into long")
 
 
 def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -138,28 +197,18 @@ def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).where("doc_id IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
     lines = saved(docs.mapInArrow(per_batch(_lines(min_tokens)), "doc_id long, text_key long, line long, leaf long, hash long"))
     kinds = saved(lines.groupBy("leaf", "hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "text_key", "line")).alias("at")))
-    mixed = kinds.groupBy("leaf").agg(F.min("hash").alias("a"), F.max("hash").alias("b"), F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("n")).where("a <> b AND least <> most").select("leaf", "n")
-    wanted = saved(kinds.join(mixed, "leaf").select("leaf", "hash", "n", "at.*"))
+    mixed = kinds.groupBy("leaf").agg(F.min("hash").alias("a"), F.max("hash").alias("b"), F.min("least").alias("least"), F.max("most").alias("most")).where("a <> b AND least <> most").select("leaf")
+    wanted = saved(kinds.join(mixed, "leaf").select("leaf", "hash", "at.*"))
     # one line's tokens for each hash that needs them
-    per_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line", "leaf", "hash", "n")).alias("asked"))
+    per_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line", "leaf", "hash")).alias("asked"))
     fetch = maybe_in(docs, "doc_id", bitmap(wanted, "doc_id")).join(per_doc, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     tokens = saved(
         fetch.select(F.split("text", "\n", -1).alias("rows"), F.explode("asked").alias("a"))
-        .select("a.leaf", "a.hash", "a.n", F.expr("element_at(rows, CAST(a.line + 1 AS INT))").alias("row"))
-        .select("leaf", "hash", "n", F.expr(r"array_join(transform(filter(split(row, '[\\x20\\x09-\\x0d]+'), t -> t <> ''), t -> if(t rlike '[0-9]', '<*>', t)), ' ')").alias("template"))
+        .select("a.leaf", "a.hash", F.expr("element_at(rows, CAST(a.line + 1 AS INT))").alias("row"))
+        .select("leaf", "hash", F.expr(r"array_join(transform(filter(split(row, '[\\x20\\x09-\\x0d]+'), t -> t <> ''), t -> if(t rlike '[0-9]', '<*>', t)), ' ')").alias("template"))
     )
-    chunked = tokens.withColumn("chunk", F.pmod(F.xxhash64("hash"), F.ceil(F.col("n") / CHUNK)))
-    done = saved(_merged(chunked))
-    while True:
-        # the chunks' templates among themselves, as long as that leaves fewer
-        tops = done.groupBy("leaf", F.col("into").alias("hash")).agg(F.min("template").alias("template"))
-        sizes = tops.groupBy("leaf").agg(F.count("*").alias("n")).join(mixed.withColumnRenamed("n", "before"), "leaf").where(f"before > {CHUNK} AND n > 1")
-        step = tops.join(sizes.select("leaf", "n"), "leaf").withColumn("chunk", F.pmod(F.xxhash64("hash", F.lit("again")), F.ceil(F.col("n") / CHUNK)))
-        again = saved(_merged(step)).selectExpr("leaf", "hash AS into", "into AS next", "template AS wider")
-        if again.where("into <> next").isEmpty():
-            break
-        done = saved(done.join(again, ["leaf", "into"], "left").select("leaf", "hash", F.coalesce("next", "into").alias("into"), F.coalesce("wider", "template").alias("template")))
-    named = lines.join(done.select("leaf", "hash", "into"), ["leaf", "hash"], "left").withColumn("template_id", F.coalesce("into", "hash"))
+    done = _merged(tokens)
+    named = lines.join(done, ["leaf", "hash"], "left").withColumn("template_id", F.coalesce("into", "hash"))
     named = saved(named.select("doc_id", "text_key", "line", "leaf", "template_id"))
     counts = named.groupBy("leaf", "template_id", "doc_id").agg(F.count("*").alias("times")).groupBy("leaf", "template_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first")).where(F.col("n_docs") >= min_docs)
     return named.join(counts, ["leaf", "template_id"]).select(F.col("doc_id").alias(id_column), "text_key", "line", "template_id", "n_docs", (F.col("doc_id") != F.col("first")).alias("dropped"))

@@ -1,5 +1,8 @@
+import random
 import re
 
+import numpy as np
+
 from quillspark.llm import template_tree as T
 
 
@@ -57,3 +60,33 @@ def test_merge_and_mask():
 
 def test_empty(spark):
     assert run(spark, [])[1].collect() == [] if False else T.recurring_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_parse_equals_merge():
+    r = random.Random(3)
+    for size in (1, 4, 5, 6, 9, 10, 17, 40):
+        lines = []
+        for _ in range(400):
+            base = list(r.choice(lines)) if lines and r.random() < 0.7 else [r.choice("abcde") for _ in range(size)]
+            for _ in range(r.randint(0, max(1, size // 3))):
+                base[r.randrange(size)] = r.choice(["f", "g", "h", T.WILDCARD])
+            lines.append(base)
+        numbers = {T.WILDCARD: 0}
+        rows = np.array([[numbers.setdefault(x, len(numbers)) for x in line] for line in lines], dtype=np.int32)
+        for agree in (0.5, 0.7, 1.0):
+            assert T.parse(rows, agree).tolist() == T.merge(lines, agree)[0]
+
+
+def test_every_pair_of_a_large_leaf_meets(spark):
+    r = random.Random(4)
+    words = [a + b + c for a in "bcdfgklm" for b in "aeiou" for c in "lmnrstxz"]
+    docs = []
+    for i in range(2500):
+        tail = r.choices(words, k=16)
+        other = list(tail)
+        other[r.randrange(16)] = "other"
+        docs += [(2 * i, " ".join(["one", "and", "the", "same", *tail])), (2 * i + 1, " ".join(["one", "and", "the", "same", *other]))]
+    _, lines = run(spark, docs)
+    rows = lines.collect()
+    assert len(rows) == 5000 and {r.n_docs for r in rows} == {2} and len({r.template_id for r in rows}) == 2500
+    assert {r.doc_id for r in rows if r.dropped} == {2 * i + 1 for i in range(2500)}
