@@ -4,6 +4,7 @@ A line's path in the tree is its number of tokens and its first tokens; tokens w
 wildcard. At a leaf, lines that agree in enough places share a template, in which the places that differ become wildcards.
 Templates that lines of several documents share recur; their lines are dropped, but for the first document that has them.
 
+Lines too short for a template recur only as they are: those with the same tokens, digits included, share a template.
 Equal masked lines share a template by hash alone. Only leaves where several documents have different lines are parsed
 further, on one line for each hash and in the order of the hashes; every line is held against every template it can agree
 with, however many lines a leaf has.
@@ -22,6 +23,8 @@ from .common import bitmap, maybe_in, per_batch, saved, small_batches
 from .textbytes import SPACE, chain, mix, signed, slices
 
 DEPTH, AGREE, MIN_TOKENS, MIN_DOCS, CHUNK = 4, 0.7, 5, 2, 2000  # CHUNK: rows worked on or given out at once
+#: Documents in which a line of fewer than MIN_TOKENS tokens recurs, and what tells its hash from a longer line's.
+SHORT_DOCS, SHORT = 3, 1 << 40
 #: Lines of a leaf from which templates are looked up instead of tried one by one; the result is the same.
 INDEXED = 64
 WILDCARD = "<*>"
@@ -50,8 +53,12 @@ def _lines(min_tokens: int):
             place = np.arange(len(words)) - np.repeat(first, size)
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens) * power[place], dtype=np.uint64)])
             line_hash = mix(sums[bounds[1:]] - sums[bounds[:-1]] + size.astype(np.uint64))
-            # tokens too few for the depth can't be asked for
-            fit = np.flatnonzero(size >= max(min_tokens, 1))
+            short = size < min_tokens
+            if short.any():
+                # short lines go by all their bytes, digits too
+                exact = np.concatenate([[np.uint64(0)], np.cumsum(mix(words.hash) * power[place], dtype=np.uint64)])
+                line_hash = np.where(short, mix(exact[bounds[1:]] - exact[bounds[:-1]] + (size + SHORT).astype(np.uint64)), line_hash)
+            fit = np.flatnonzero(size >= 1)
             leaf = np.zeros(len(fit), dtype=np.uint64)
             deep = np.minimum(size[fit], DEPTH)
             for d in np.unique(deep):
@@ -60,6 +67,8 @@ def _lines(min_tokens: int):
                 for i in range(d):
                     lead = lead * np.uint64(0xD6E8FEB86659FD93) + tokens[first[at] + i]
                 leaf[deep == d] = mix(lead + size[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            # a leaf of its own, so that nothing merges with it
+            leaf = np.where(short[fit], line_hash[fit], leaf)
             ids = batch.column(0).slice(lo, hi - lo).take(pa.array(doc[fit]))
             text_key = batch.column(2).slice(lo, hi - lo).take(pa.array(doc[fit]))
             yield pa.record_batch([ids, text_key, pa.array(number[fit].astype(np.int64)), pa.array(signed(leaf)), pa.array(signed(line_hash[fit]))], names=["doc_id", "text_key", "line", "leaf", "hash"])
@@ -184,13 +193,13 @@ def _merged(rows: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(run, "leaf long, hash long, into long")
 
 
-def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Lines of templates that recur in at least min_docs documents, one row for each row of docs and line.
+def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
+    """Lines of templates that recur in at least min_docs documents, one row for each row of docs and line; lines of fewer
+    than min_tokens tokens count only with equal ones, from short_docs documents on.
 
     Returns id_column, text_key (a hash of the text: rows may repeat an id), line (number from 0), template_id, n_docs and
     dropped (false in the document with the smallest id, which keeps its lines). Lines end at line feeds; tokens are runs of
-    other than ASCII white space; lines of fewer than min_tokens tokens are never dropped. Repetition inside one document is
-    no recurrence, nor are repeated rows of one id. Null and empty texts have no lines; rows with a null id are left out.
+    other than ASCII white space; lines without tokens are never dropped. Repetition inside one document is no recurrence, nor are repeated rows of one id. Null and empty texts have no lines; rows with a null id are left out.
     Other columns aren't read; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
@@ -210,7 +219,7 @@ def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     done = _merged(tokens)
     named = lines.join(done, ["leaf", "hash"], "left").withColumn("template_id", F.coalesce("into", "hash"))
     named = saved(named.select("doc_id", "text_key", "line", "leaf", "template_id"))
-    counts = named.groupBy("leaf", "template_id", "doc_id").agg(F.count("*").alias("times")).groupBy("leaf", "template_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first")).where(F.col("n_docs") >= min_docs)
+    counts = named.groupBy("leaf", "template_id", "doc_id").agg(F.count("*").alias("times")).groupBy("leaf", "template_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first")).where(F.col("n_docs") >= F.when(F.col("leaf") == F.col("template_id"), short_docs).otherwise(min_docs))
     return named.join(counts, ["leaf", "template_id"]).select(F.col("doc_id").alias(id_column), "text_key", "line", "template_id", "n_docs", (F.col("doc_id") != F.col("first")).alias("dropped"))
 
 

@@ -90,3 +90,14 @@ def test_every_pair_of_a_large_leaf_meets(spark):
     rows = lines.collect()
     assert len(rows) == 5000 and {r.n_docs for r in rows} == {2} and len({r.template_id for r in rows}) == 2500
     assert {r.doc_id for r in rows if r.dropped} == {2 * i + 1 for i in range(2500)}
+
+
+def test_short_lines_recur_only_as_they_are(spark):
+    docs = [(i, f"All rights reserved.\nPage {i}\n{'abcdef'[i]} text has a line of its own\n All  rights reserved.") for i in range(5)]
+    docs += [(7, "Twice"), (8, "Twice"), (9, "Page 0"), (10, None), (None, "All rights reserved.")]
+    df, lines = run(spark, docs)
+    rows = lines.collect()
+    assert {(r.doc_id, r.line, r.n_docs, r.dropped) for r in rows} == {(i, n, 5, i > 0) for i in range(5) for n in (0, 3)}
+    assert len({r.template_id for r in rows}) == 1
+    kept = {r.doc_id: r.text for r in T.drop_lines(df, lines).collect()}
+    assert kept[0] == docs[0][1] and kept[4].startswith("Page 4\ne text") and "reserved" not in kept[4] and kept[8] == "Twice" and kept[9] == "Page 0"
