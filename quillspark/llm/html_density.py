@@ -1,7 +1,8 @@
 """Main-text extraction by composite text density.
 
 A page is read into a DOM; what never holds the article (menus, notices, forms, markup of the page itself) is left out
-by its element name or its class, id and role. For every remaining node the composite density is its characters per tag,
+by its element name or its class, id and role, inside an article or main element only by whole class names of a short
+list and by role. For every remaining node the composite density is its characters per tag,
 adjusted by its links (Sun, Song and Liao, 2011):
 
     C / T * log(C / LC * T / LT) to the base ln(C / NLC * LC + LCb / Cb * C + e)
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import per_batch, small_batches
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*>?", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: An attribute: its name, and its value if it has one.
+_ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_ASKED = re.compile("class|id|role|hidden|style", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
 _DROP = _RAW | frozenset("head nav footer aside form button select option input label fieldset dialog menu object embed audio video canvas map applet frameset".split())
@@ -55,6 +58,13 @@ _NOISE = re.compile(
     re.I,
 )
 _NOISE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|respond|related|sponsor(?:ed)?|promo|ads?|adverts?|widget|teaser)(?:$|[\s_-]|\d)", re.I)
+#: Class tokens that mark what isn't the article inside of it, and roles that do so anywhere.
+_TOKENS_ARTICLE = re.compile(
+    r"(?:comments?|repl(?:y|ies)|respond|related|sponsor(?:ed)?|promo|ads?|adverts?|widget|teaser)"
+    r"(?:[_-]?(?:\d+|area|block|body|box|container|content|form|items?|links|list|posts?|respond|section|stories|wrap(?:per)?))?",
+    re.I,
+)
+_ROLES = frozenset("alert banner complementary contentinfo menu navigation search".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACES = re.compile(r"\s+")
 
@@ -67,27 +77,39 @@ class Node:
         self.items: list[Node | str] = []
 
 
+def _inside_article(node: Node | None) -> bool:
+    while node is not None:
+        if node.name in ("article", "main"):
+            return True
+        node = node.parent
+    return False
+
+
 def _noise(name: str, attrs: str, inside: Node) -> bool:
     if name in _DROP:
         return True
     if name == "header":
         # a page's header holds no text of the article; an article's own header holds its heading
-        above: Node | None = inside
-        while above is not None:
-            if above.name in ("article", "main"):
-                return False
-            above = above.parent
-        return True
-    if not attrs or name in ("html", "body", "main"):
+        if not _inside_article(inside):
+            return True
+    if not attrs or name in ("html", "body", "main") or not _ASKED.search(attrs):
         return False
-    pattern = _NOISE_ARTICLE if name == "article" else _NOISE
+    found: dict[str, str] = {}
     for key, value in _ATTR.findall(attrs):
-        key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "style" and _HIDDEN.search(value) or key in ("class", "id", "role") and pattern.search(value):
-            return True
-    return False
+        found.setdefault(key.lower(), value[1:-1] if value[:1] in ('"', "'") else value)
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or _HIDDEN.search(found.get("style", "")):
+        return True
+    words, slug, roles = (found.get(key, "") for key in ("class", "id", "role"))
+    if any(role in _ROLES for role in roles.lower().split()):
+        return True
+    if name == "article":
+        return _NOISE_ARTICLE.search(words) is not None or _TOKENS_ARTICLE.fullmatch(slug.strip()) is not None
+    if not words and not slug or name in _HEADINGS:
+        return False
+    if _inside_article(inside):
+        return any(_TOKENS_ARTICLE.fullmatch(word) for word in words.split())
+    # names of places in the text stand on what isn't a block
+    return _NOISE.search(words) is not None or name in _BLOCK and _NOISE.search(slug) is not None
 
 
 def parse(page: str) -> Node:

@@ -44,3 +44,14 @@ def test_long_and_odd_rows(spark):
     got = {(r.page_id, r.url): len(r.text) for r in main_text(df).collect()}
     assert main_text(df).count() == 5 and got[1, "u"] == 999999 and got[2, None] == 0 and got[None, "u"] == 4
     assert main_text(df.limit(0)).collect() == []
+
+
+def test_attribute_words_leave_article_text():
+    text = """<p title="a hidden gem">A gem, see <a href="/wiki/Hidden_Markov_model">hidden Markov model</a>.</p><p data-hidden="false">Shown.</p>
+    <section id="search-algorithms"><h2 id="related-work" class="header">Related work</h2><p>On <span id="Social_history">social history</span>.</p></section>"""
+    head = '<div class="entry-header"><h1>Title</h1></div>'
+    gone = '<p hidden>h1</p><div HIDDEN="">h2</div><div aria-hidden="true">h3</div><p style="display: none">h4</p><div role="search">h5</div><div class="x comments-area">h6</div><div class=\'ad\'>h7</div>'
+    want = "Title\nA gem, see hidden Markov model.\nShown.\nRelated work\nOn social history.\n" + WANT
+    for name in ("article", "main"):
+        assert extract(f"<body><{name}>{head}{text}{BODY}{gone}</{name}></body>") == want
+    assert extract(f'<body><div class="post">{text.replace("section", "div").replace("search-", "")}{BODY}</div></body>') == want.removeprefix("Title\n")
