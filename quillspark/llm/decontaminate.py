@@ -2,7 +2,8 @@
 
 Each fixed mask is laid on every position of the test items and of the training texts; the hash covers only the words
 under its ones, so a substituted word under a zero goes unnoticed. Equal hashes are hits. Around a hit the two texts are
-laid side by side on the hit's diagonal and the best run is taken, a match counting +1 and a substitution -2.
+laid side by side on the hit's diagonal and the best run is taken, a match counting +1 and a substitution -2. Where that run
+is too short, substitutions near the ends may have cut it: a run that is long enough is taken if MATCHING % of it match.
 """
 
 from __future__ import annotations
@@ -20,9 +21,30 @@ from .textbytes import Words, chain, slices, texts_of
 #: Fixed masks: a contiguous one and three spaced ones; any run of 13 words with one substitution is hit.
 MASKS = ("11111111", "1110110111", "110110011011", "1011100111101")
 SUBSTITUTION = 2
+MATCHING = 85
 PREFILTER_BITS = 22
 
 
+def lone_gaps(n: int) -> list[tuple[int, ...]]:
+    """Masks over n words without one of them, for each place at which no fixed mask is hit if that word is substituted."""
+    seen = {i for m in MASKS for lo in range(n - len(m) + 1) for i in range(n) if not lo <= i < lo + len(m) or m[i - lo] == "0"}
+    return [tuple(j for j in range(n) if j != i) for i in range(n) if i not in seen]
+
+
+def long_run(same: np.ndarray, least: int) -> tuple[int, int] | None:
+    """The run of at least least words, from a match to a match, that is furthest over MATCHING % of matches."""
+    at = np.flatnonzero(same)
+    if not len(at) or at[-1] - at[0] + 1 < least:
+        return None
+    total = np.concatenate([[0], np.cumsum(np.where(same, 100 - MATCHING, -MATCHING))])
+    far = np.iinfo(np.int64).max // 2
+    starts = np.where(same, total[:-1], far)[: len(same) - least + 1]
+    low = np.minimum.accumulate(starts)
+    over = np.where(same[least - 1 :], total[least:] - low, -far)
+    end = int(np.argmax(over))
+    return (int(np.argmin(starts[: end + 1])), end + least) if over[end] >= 0 else None
+
+
 class Seeds:
     """The seeds of some test items, with the items' words for verification."""
 
@@ -34,9 +56,13 @@ class Seeds:
         #: shorter items than a mask are hashed whole, by length
         short = sorted({len(w) for w in self.items if 0 < len(w) < max(map(len, MASKS))})
         self.offsets = [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS] + [tuple(range(n)) for n in short]
+        #: those that are an overlap only as a whole also with one word substituted, if that leaves enough that match
+        gaps = [(n, offs) for n in short if n <= min_words and 100 * (n - 1) >= MATCHING * n for offs in lone_gaps(n)]
+        spans = [len(m) for m in MASKS] + short + [n for n, _ in gaps]
+        self.offsets += [offs for _, offs in gaps]
         self.tables = []
         for m, offs in enumerate(self.offsets):
-            span = offs[-1] + 1
+            span = spans[m]
             hashes, item, place = [], [], []
             for i, w in enumerate(self.items):
                 if len(w) >= span and (m < len(MASKS) or len(w) == span):
@@ -82,7 +108,18 @@ class Seeds:
             end = int(np.argmax(total - low))
             start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
             score = int(total[end] - low[end])
-            if end - start >= self.least[i] and score > best.get((t, i), (0,))[0]:
+            if end - start < self.least[i]:
+                # an item that is short itself is taken as a whole, whichever of its words differ
+                if len(theirs) <= self.min_words:
+                    run = (0, len(theirs)) if len(same) == len(theirs) and 100 * int(same.sum()) >= MATCHING * len(theirs) else None
+                else:
+                    run = long_run(same, self.least[i])
+                if run is None:
+                    continue
+                start, end = run
+                matched = int(same[start:end].sum())
+                score = matched - SUBSTITUTION * (end - start - matched)
+            if score > best.get((t, i), (0,))[0]:
                 best[t, i] = (score, lo + d + start, lo + start, end - start, int(same[start:end].sum()))
         for (t, i), (_, s, p, n, m) in best.items():
             yield t, i, s, p, n, m
@@ -102,9 +139,11 @@ def decontaminate(
 
     Returns id_column, item_column, doc_start, item_start (word positions), n_words, n_matched. An overlap counts from
     min_words words, or the whole item where that is shorter; words are runs of bytes other than ASCII white space, A-Z
-    lower-cased; substituted words inside an overlap are tolerated, inserted or deleted ones end it. Null, empty or
-    white-space texts and items overlap with nothing. Equal documents and equal items each give their rows; rows with a
-    null id keep the null. Other columns are not read. Empty tables give an empty result.
+    lower-cased; substituted words inside an overlap are tolerated, inserted or deleted ones end it. Where the run of the
+    greatest sum is shorter, a run of min_words counts, or the whole shorter item, if MATCHING % of its words match and a
+    mask hits it; one substituted word in an item of 7 to min_words words is always hit. Null, empty or white-space texts
+    and items overlap with nothing. Equal documents and equal items each give their rows; rows with a null id keep the
+    null. Other columns are not read. Empty tables give an empty result.
 
     Test items are read in blocks of about block_chars characters (an item is in one block), which bounds what is sent to
     the executors; each block is joined with all documents.

@@ -57,3 +57,18 @@ def test_odd_rows(spark):
     got = sorted(((x.doc_id or -1), x.item_id, x.doc_start, x.n_words) for x in decontaminate(d, i).collect())
     assert got == [(-1, 7, 0, 13), (4, 7, 0, 13), (4, 7, 0, 13), (4, 7, 0, 13)]
     assert decontaminate(d.limit(0), i).collect() == [] and decontaminate(d, i.limit(0)).collect() == []
+
+
+def test_substitutions_near_the_ends(spark):
+    cases = [(n, (i,)) for n in range(7, 14) for i in range(n) if n < 13 or 0 < i < 12] + [(15, (2, 12)), (16, (2, 13)), (17, (1, 15))]
+    items, docs = [], []
+    for k, (n, places) in enumerate(cases):
+        item = [f"w{k}x{j}" for j in range(n)]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(["before", *("changed" if j in places else w for j, w in enumerate(item)), "after"])))
+    # too few words, or too few of them in place
+    few = [(900, " ".join(f"v{j}" for j in range(30)))]
+    docs += [(900, " ".join(f"v{j}" for j in range(11)) + " x y z"), (901, " ".join("o" if j in (1, 10) else f"v{j}" for j in range(12)) + " z"), (902, "w0x0 a w0x2 w0x3 b w0x5 w0x6")]
+    found = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + few, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == {(k, k) for k in range(len(cases))}
+    assert all(x.n_words >= min(12, cases[x.item_id][0]) and x.n_matched >= 0.85 * x.n_words for x in found)
