@@ -83,7 +83,8 @@ def maybe_in(df: DataFrame, column: str, places: np.ndarray) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large and small stars: edges (a, b) of long, result (node, component).
 
-    component is the smallest node; nodes without an edge to another are not in the result. A round shuffles the edges by
+    component is the smallest node; nodes without an edge to another are not in the result. Edges that haven't settled after
+    that many rounds are an error. A round shuffles the edges by
     node; the smallest neighbour is found by a partially aggregated min and joined back, so a hub is no single task's work.
     """
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -107,6 +108,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.groupBy("a").agg(F.min("b").alias("component")).union(edges.groupBy("b").agg(F.min("b").alias("component"))).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"))
 
 

@@ -69,3 +69,13 @@ def test_odd_rows(spark):
 def test_hashes_do_not_depend_on_the_slice():
     alone = [list(next(shingle_sets(texts_of([t]).words(), 3))) for t in ("a b c d", "B c d", "x")]
     assert [list(s) for s in shingle_sets(texts_of(["A b C d", "b c d", "X"]).words(), 3)] == alone
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    from quillspark.llm.common import components
+
+    chain = spark.range(40).selectExpr("id AS a", "id + 1 AS b")
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=1)
+    assert {(r.node, r.component) for r in components(chain).collect()} == {(i, 0) for i in range(41)}
+    assert components(chain.limit(0), rounds=1).collect() == []
