@@ -35,17 +35,32 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a hash of the text: equal texts share their key, whatever their doc_id."""
+    return docs.withColumn("__key", F.xxhash64("text"))
+
+
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id; a null doc_id stays."""
-    found = ngram_join(docs)
-    gone = saved(found.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies stays, the one with the smallest doc_id (null counts as the greatest), and one row of each equal doc_id and text."""
+    keyed = _keyed(docs)
+    rows = saved(keyed.groupBy("doc_id", "__key").agg(F.count("*").alias("n")))
+    found = ngram_join(keyed.select("__key", "text"), id_column="__key").where("n_shingles > 0").groupBy("__key").agg(F.min("component_id").alias("group"))
+    grouped = saved(rows.join(found, "__key").withColumn("rank", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__key")))
+    first = grouped.groupBy("group").agg(F.min("rank").alias("first"))
+    gone = saved(grouped.join(first, "group").where("rank <> first").select("doc_id", "__key"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["__key"] == b["__key"])
+    kept = keyed.join(gone, same(keyed, gone), "left_anti")
+    again = rows.where("n > 1").select("doc_id", "__key")
+    if not again.isEmpty():
+        kept = kept.join(again, same(kept, again), "left_anti").union(kept.join(again, same(kept, again), "left_semi").dropDuplicates(["doc_id", "__key"]))
+    return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an overlap with a benchmark item stay."""
-    gone = saved(decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without an overlap with a benchmark item stay. The text alone decides, so rows are found by their text's key."""
+    keyed = _keyed(docs)
+    gone = saved(decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_column="__key").select("__key").distinct())
+    return keyed.join(gone, "__key", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

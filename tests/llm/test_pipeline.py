@@ -80,3 +80,15 @@ def test_stages_keep_columns_and_clean_documents(spark, tables):
         assert stage(spark, docs.limit(0), folder).collect() == []
     assert P.STAGES[-1][1](spark, docs, folder).count() == 3
     assert [name for name, _ in P.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "packing"] and P.ORACLE_SQL is None
+
+
+def test_null_and_repeated_ids(spark, tables):
+    folder, _, _, items = tables
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, items[0]), (5, "clean words only"), (5, items[1]), (6, None), (6, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], COLUMNS)
+    assert sorted((r.doc_id or -1, r.text or "") for r in P.drop_contaminated(spark, docs, folder).collect()) == [(-1, ""), (5, "clean words only"), (6, ""), (6, "")]
+    rows = [(4, text), (4, text), (None, text), (9, text + " more"), (None, "alone " * 9), (None, "alone " * 9), (4, "another text of id four"), (6, None), (6, None), (None, ""), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], COLUMNS)
+    got = sorted((r.doc_id or -1, r.text or "") for r in P.dedup_documents(spark, docs, folder).collect())
+    assert got == sorted([(4, text), (-1, "alone " * 9), (4, "another text of id four"), (6, ""), (-1, ""), (7, "")])
