@@ -1,15 +1,19 @@
 """Main-text extraction by composite text density.
 
-A page is read into a DOM; what never holds the article (menus, notices, forms, markup of the page itself) is left out
-by its element name or its class, id and role, inside an article or main element only by whole class names of a short
-list and by role. For every remaining node the composite density is its characters per tag,
-adjusted by its links (Sun, Song and Liao, 2011):
+A page is read into a DOM. What the article never is (menus, page headers and footers, sidebars, notices, adverts, forms,
+scripts, reader comments) is left out by its element's name, its role, or a whole word of its class or id. For every
+remaining node the composite density is its characters per tag, adjusted by its links (Sun, Song and Liao, 2011):
 
     C / T * log(C / LC * T / LT) to the base ln(C / NLC * LC + LCb / Cb * C + e)
 
 with C characters, T tags, LC and LT those inside links, NLC characters outside links, and LCb, Cb of the body. The
 density sum of a node adds its children's densities. The threshold is the least density on the path from the body to the
 node of the greatest sum; the article is the subtree of the greatest sum among nodes whose density reaches the threshold.
+
+That subtree may be a part of the article: one paragraph, or one section beside others. So it stands for the container that
+holds it, and on the path from there to the body a sibling belongs to the article if it holds a heading or reaches the
+path's least density so far, and most of its characters are outside links. Inside an article element, density has to tell
+only what is links. Of siblings right under the body only headings before it belong to it.
 """
 
 from __future__ import annotations
@@ -36,32 +40,30 @@ _BLOCK = frozenset(
     " ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: What an opening tag closes by itself, up to the nearest of the given containers.
+#: Blocks that are pieces of an article, never all of it.
+_PIECES = _HEADINGS | frozenset("p pre li dt dd td th tr tbody figcaption caption summary".split())
+#: What an opening tag closes by itself, as far as it is innermost in the page's frame.
 _CLOSES = {
-    **{t: (frozenset({"p"}), frozenset({"button", "td", "th", "table", "caption"})) for t in _BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}},
-    "li": (frozenset({"li", "p"}), frozenset({"ul", "ol", "menu"})),
-    "dt": (frozenset({"dt", "dd", "p"}), frozenset({"dl"})),
-    "dd": (frozenset({"dt", "dd", "p"}), frozenset({"dl"})),
-    "tr": (frozenset({"tr", "td", "th", "p"}), frozenset({"table"})),
-    "td": (frozenset({"td", "th", "p"}), frozenset({"tr", "table"})),
-    "th": (frozenset({"td", "th", "p"}), frozenset({"tr", "table"})),
-    "tbody": (frozenset({"thead", "tbody", "tfoot", "tr", "td", "th", "p"}), frozenset({"table"})),
-    "option": (frozenset({"option"}), frozenset({"select"})),
+    **{t: frozenset({"p"}) for t in _BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}},
+    "li": frozenset({"li", "p"}),
+    "dt": frozenset({"dt", "dd", "p"}),
+    "dd": frozenset({"dt", "dd", "p"}),
+    "tr": frozenset({"tr", "td", "th", "p"}),
+    "td": frozenset({"td", "th", "p"}),
+    "th": frozenset({"td", "th", "p"}),
+    **{t: frozenset({"thead", "tbody", "tfoot", "tr", "td", "th", "p"}) for t in ("tbody", "thead", "tfoot")},
+    "option": frozenset({"option"}),
 }
-_CLOSES["thead"] = _CLOSES["tfoot"] = _CLOSES["tbody"]
-#: Words in class, id or role that mark what isn't the article.
+#: A whole word of class, or an id, that marks what the contract of an article leaves out: menus, page headers and footers,
+#: sidebars, notices, adverts and reader comments, alone or with what usually stands before or after it.
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|adslot|banner|sponsor(?:ed)?|promo(?:tion)?|comments?|commentlist|disqus|respond|replies|cookies?"
-    r"|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|sidebar|side|widget|menu|nav(?:bar|igation)?|breadcrumbs?|footer"
-    r"|header|masthead|topbar|toolbar|share|sharing|social|related|recommend(?:ed|ations)?|more-?stories|trending|pagination|pager|tags|tagcloud|search|skip(?:-?link)?|copyright"
-    r"|complementary|contentinfo|site-?info|outbrain|taboola)(?:$|[\s_-]|\d)",
-    re.I,
-)
-_NOISE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|respond|related|sponsor(?:ed)?|promo|ads?|adverts?|widget|teaser)(?:$|[\s_-]|\d)", re.I)
-#: Class tokens that mark what isn't the article inside of it, and roles that do so anywhere.
-_TOKENS_ARTICLE = re.compile(
-    r"(?:comments?|repl(?:y|ies)|respond|related|sponsor(?:ed)?|promo|ads?|adverts?|widget|teaser)"
-    r"(?:[_-]?(?:\d+|area|block|body|box|container|content|form|items?|links|list|posts?|respond|section|stories|wrap(?:per)?))?",
+    r"(?:(?:site|page|top|bottom|main|global|primary|secondary|left|right|mobile|sticky|inline|reader|user|post|article|blog)[_-]?)?"
+    r"(?:ads?|advert|advertisement|advertising|adsense|ad[_-]?slot|sponsor(?:ed)?|promo(?:tion)?|banner|comments?|disqus|respond|repl(?:y|ies)|cookies?|gdpr|consent|notice|alert"
+    r"|popup|modal|newsletter|subscribe|signup|login|paywall|sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar|share|sharing|social"
+    r"|pagination|pager|copyright)"
+    r"(?:[_-]?(?:\d+|area|bar|banner|block|body|box|container|content|form|group|inner|items?|left|links|list|menu|notice|posts?|respond|right|section|slot|stories|top|unit|widget|wrap(?:per)?))*"
+    r"|(?:site|page|top|global|blog)[_-]?header|header(?:[_-]?(?:bar|inner|wrap(?:per)?))?"
+    r"|(?:related|recommended|trending|more)[_-]?(?:articles|content|links|posts|stories)",
     re.I,
 )
 _ROLES = frozenset("alert banner complementary contentinfo menu navigation search".split())
@@ -69,29 +71,26 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACES = re.compile(r"\s+")
 
 
+#: What forms the frame of a page: an end tag of one of them closes what is open inside it.
+_FRAME = _BLOCK | _DROP
+_SECTIONS = frozenset("article main section".split())
+
+
 class Node:
-    __slots__ = ("chars", "density", "items", "link_chars", "link_tags", "name", "noise", "parent", "sum", "tags")
+    __slots__ = ("chars", "density", "holds", "items", "link_chars", "link_tags", "name", "noise", "parent", "sum", "tags", "titled")
 
     def __init__(self, name: str, parent: Node | None, noise: bool = False):
         self.name, self.parent, self.noise = name, parent, noise
+        self.holds = False
         self.items: list[Node | str] = []
 
 
-def _inside_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.name in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
-def _noise(name: str, attrs: str, inside: Node) -> bool:
+def _noise(name: str, attrs: str, in_section: bool) -> bool:
     if name in _DROP:
         return True
-    if name == "header":
-        # a page's header holds no text of the article; an article's own header holds its heading
-        if not _inside_article(inside):
-            return True
+    # a page's header holds no text of the article; the header of a section or an article holds its heading
+    if name == "header" and not in_section:
+        return True
     if not attrs or name in ("html", "body", "main") or not _ASKED.search(attrs):
         return False
     found: dict[str, str] = {}
@@ -99,66 +98,99 @@ def _noise(name: str, attrs: str, inside: Node) -> bool:
         found.setdefault(key.lower(), value[1:-1] if value[:1] in ('"', "'") else value)
     if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or _HIDDEN.search(found.get("style", "")):
         return True
-    words, slug, roles = (found.get(key, "") for key in ("class", "id", "role"))
-    if any(role in _ROLES for role in roles.lower().split()):
+    if any(role in _ROLES for role in found.get("role", "").lower().split()):
         return True
-    if name == "article":
-        return _NOISE_ARTICLE.search(words) is not None or _TOKENS_ARTICLE.fullmatch(slug.strip()) is not None
-    if not words and not slug or name in _HEADINGS:
+    # names of places in the text stand on headings and on what isn't a block
+    if name in _HEADINGS or name not in _BLOCK and name != "span":
         return False
-    if _inside_article(inside):
-        return any(_TOKENS_ARTICLE.fullmatch(word) for word in words.split())
-    # names of places in the text stand on what isn't a block
-    return _NOISE.search(words) is not None or name in _BLOCK and _NOISE.search(slug) is not None
+    words = found.get("class", "").split() + (found.get("id", "").split() if name != "span" else [])
+    return any(_NOISE.fullmatch(word) for word in words)
+
+
+class _Open:
+    """The open elements: a stack of all, of those of the page's frame, and how many of each name are open.
+
+    Every step either opens an element or closes some, so a page is read in a time proportional to its length.
+    """
+
+    def __init__(self, root: Node):
+        self.all, self.frames, self.counts = [root], [], {}
+        #: open elements by name since the innermost frame
+        self.inner: list[dict[str, int]] = [{}]
+
+    def push(self, node: Node) -> None:
+        self.all.append(node)
+        self.counts[node.name] = self.counts.get(node.name, 0) + 1
+        if node.name in _FRAME:
+            self.frames.append(node)
+            self.inner.append({})
+        else:
+            self.inner[-1][node.name] = self.inner[-1].get(node.name, 0) + 1
+
+    def pop(self) -> Node:
+        node = self.all.pop()
+        self.counts[node.name] -= 1
+        if node.name in _FRAME:
+            self.frames.pop()
+            self.inner.pop()
+        else:
+            self.inner[-1][node.name] -= 1
+        return node
+
+    def close(self, name: str) -> None:
+        """An end tag: one of the frame closes what is inside, another doesn't reach beyond its block; a stray one does nothing."""
+        if (self.counts if name in _FRAME else self.inner[-1]).get(name, 0):
+            while self.pop().name != name:
+                pass
+
+    def make_room(self, name: str) -> None:
+        """Closes what an opening tag closes by itself."""
+        gone = _CLOSES[name]
+        last = None
+        for node in reversed(self.frames):
+            if node.name not in gone:
+                break
+            last = node
+        while last is not None and self.pop() is not last:
+            pass
 
 
 def parse(page: str) -> Node:
     """A lenient DOM: unknown end tags are skipped, open elements end with their container or the page."""
-    root = here = Node("html", None)
+    root = Node("html", None)
+    held = _Open(root)
     body: Node | None = None
     at, n = 0, len(page)
     while at < n:
         found = _TOKEN.search(page, at)
         if found is None:
-            here.items.append(page[at:])
+            held.all[-1].items.append(page[at:])
             break
         if found.start() > at:
-            here.items.append(page[at : found.start()])
+            held.all[-1].items.append(page[at : found.start()])
         at = found.end()
         ends, name, attrs = found.group(1, 2, 3) if found[2] else found.group(4, 5, 6)
         if name is None:
             continue
         name = name.lower()
         if ends:
-            up: Node | None = here
-            block = name in _BLOCK or name in _DROP
-            while up is not None and up.name != name and (block or up.name not in _BLOCK):
-                up = up.parent
-            if up is not None and up.name == name and up.parent is not None:
-                here = up.parent
+            held.close(name)
             continue
         if name == "html" or name == "body" and body is not None:
             continue
-        closes = _CLOSES.get(name)
-        if closes:
-            up = here
-            last = None
-            while up is not None and up.name not in closes[1] and (up.name not in _BLOCK or up.name in closes[0]):
-                if up.name in closes[0]:
-                    last = up
-                up = up.parent
-            if last is not None and last.parent is not None:
-                here = last.parent
+        if name in _CLOSES:
+            held.make_room(name)
         if name == "body":
-            while here.parent is not None:
-                here = here.parent
-        node = Node(name, here, _noise(name, attrs, here))
+            while len(held.all) > 1:
+                held.pop()
+        here = held.all[-1]
+        node = Node(name, here, _noise(name, attrs, any(held.counts.get(x, 0) for x in _SECTIONS)))
         here.items.append(node)
         if name in ("article", "main") and not node.noise:
             # what holds the article is no noise, whatever its class says
             above: Node | None = here
-            while above is not None:
-                above.noise = above.noise and above.name in _DROP
+            while above is not None and not above.holds:
+                above.holds, above.noise = True, above.noise and above.name in _DROP
                 above = above.parent
         if name == "body":
             body = node
@@ -168,7 +200,7 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        here = node
+        held.push(node)
     return body or root
 
 
@@ -192,7 +224,8 @@ def _measure(body: Node) -> list[Node]:
                 node.link_chars += x.link_chars
                 node.link_tags += x.link_tags + (x.name == "a")
         if node.name == "a":
-            node.link_chars, node.link_tags = node.chars, max(node.tags, 1)
+            node.link_chars = node.chars
+        node.titled = node.name in _HEADINGS and node.chars > 0 or any(x.titled for x in node.items if not isinstance(x, str))
     ratio = body.link_chars / body.chars if body.chars else 0.0
     for node in reversed(order):
         node.density = _density(node, ratio)
@@ -201,33 +234,59 @@ def _measure(body: Node) -> list[Node]:
 
 
 def _density(node: Node, body_ratio: float) -> float:
-    if not node.chars:
+    # a link is all link: log(1)
+    if not node.chars or node.name == "a":
         return 0.0
     tags, links, link_tags = max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-    base = math.log(node.chars / max(node.chars - node.link_chars, 1) * node.link_chars + body_ratio * node.chars + math.e)
-    return max(0.0, node.chars / tags * math.log(max(node.chars / links * tags / link_tags, 1.0)) / max(math.log(base), 1e-9) if base > 1 + 1e-9 else node.chars / tags * math.log(max(node.chars / links * tags / link_tags, 1.0)))
+    spread = math.log(math.log(node.chars / max(node.chars - node.link_chars, 1) * node.link_chars + body_ratio * node.chars + math.e))
+    value = math.log(max(node.chars / links * tags / link_tags, 1.0))
+    # without a link on the whole page the base is 1: then the logarithm itself
+    return node.chars / tags * (value / spread if spread > 1e-9 else value)
 
 
 def select(body: Node) -> Node | None:
-    """The article's node, None for a page without text."""
+    """The subtree of the greatest density sum among nodes that reach the body path's threshold; None for a page without text."""
     order = _measure(body)
     if not body.chars:
         return None
     best = max(order, key=lambda x: x.sum)
-    threshold, up = best.density, best.parent
-    while up is not None and best is not body:
+    threshold = best.density
+    up = best
+    while up is not body:
+        up = up.parent
         threshold = min(threshold, up.density)
-        up = None if up is body else up.parent
-    best = max((x for x in order if x.density >= threshold), key=lambda x: x.sum)
-    # a heading or paragraph alone stands for the container that holds it and what belongs to it
-    while best is not body and best.parent is not None and best.name not in ("article", "main") and (best.name not in _BLOCK or best.name in _HEADINGS | {"p", "pre", "li", "td"}):
+    return max((x for x in order if x.density >= threshold), key=lambda x: x.sum)
+
+
+def whole(body: Node, best: Node) -> Node:
+    """A tree of the article: best's container and what belongs to it on the path to the body, in page order."""
+    while best is not body and (best.name not in _BLOCK or best.name in _PIECES):
         best = best.parent
-    above: Node | None = best
-    while above is not None and above is not body:
-        if above.name in ("article", "main"):
-            return above
-        above = above.parent
-    return best
+    path, least = [best], best.density
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    # inside which of the path's nodes there is an article element
+    inner = max((i for i, x in enumerate(path) if x.name == "article"), default=-1)
+    kept = best
+    for i, up in enumerate(path[1:], 1):
+        wider = Node(up.name, None)
+        if up is body:
+            # of what stands beside it on the page only headings before it are its own
+            wider.items = [x for x in up.items[: up.items.index(path[i - 1])] if not isinstance(x, str) and x.name in _HEADINGS and 2 * x.link_chars <= x.chars]
+            wider.items.append(kept)
+            return wider
+        least = min(least, up.density)
+        for x in up.items:
+            if isinstance(x, str):
+                # loose text of the article's element, or of inline markup around best
+                if i <= inner or up.name not in _BLOCK:
+                    wider.items.append(x)
+            elif x is path[i - 1]:
+                wider.items.append(kept)
+            elif x.chars and 2 * x.link_chars <= x.chars and (i <= inner or x.titled or x.density >= least):
+                wider.items.append(x)
+        kept = wider
+    return kept
 
 
 def blocks(node: Node) -> list[str]:
@@ -264,8 +323,9 @@ def extract(page: str | None) -> str:
     """The article of one page, its blocks joined by newlines; empty for null, empty and textless pages."""
     if not page:
         return ""
-    node = select(parse(page))
-    return "\n".join(blocks(node)) if node is not None else ""
+    body = parse(page)
+    best = select(body)
+    return "\n".join(blocks(whole(body, best))) if best is not None else ""
 
 
 def main_text(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url"), into: str = "text") -> DataFrame:
