@@ -4,9 +4,10 @@
 2. Similar classes are partitioned into groups: each is verified against the most central of the classes that share one of
    its lowest shingle hashes, and verified links are closed into groups. Only stars are verified here, never all pairs.
 3. The matrix holds, for each group, the union of its members' prefix tokens in one global order, rare tokens first.
-   A query class reads the matrix rows of its prefix tokens. The tokens found in a group, with what stands behind them in
-   query and group, bound its overlap with any member; a group that is not the query's own is opened only if that bound
-   allows the threshold. Of two classes the one whose prefix ends first is the query.
+   A query class reads the matrix rows of its prefix tokens. The tokens found in a group's union and what stands behind the
+   query's prefix bound its overlap with any member; a group that is not the query's own is opened only if that bound
+   allows the threshold. Of two classes the one whose prefix ends first is the query, so that whatever its prefix shares
+   with a member is in the union.
 4. In an opened group the same bound is taken member by member from both sides; what passes is verified on whole texts.
 
 The prefix of a set of n shingles is its first n - ceil(t * n) + 1 tokens: two sets that link share one at least, so no
@@ -16,6 +17,8 @@ buckets over all texts; any order is correct, and counts only keep frequent pass
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,14 +109,15 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num:
     return pairs.join(left, ["a", "da"]).join(right, ["b", "db"]).select("a", "b", "ta", "tb").mapInArrow(per_batch(link), "a long, b long")
 
 
-def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, num: int = 80, den: int = 100, on_opened: Callable[[DataFrame, DataFrame], None] | None = None) -> DataFrame:
     """Components of documents linked by the Jaccard similarity of their k-word shingle sets, at least num / den.
 
     Returns id_column, n_shingles, component_id, class_id (the smallest id with the same set), one row for each row of docs.
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. A text of fewer than k words has its whole
     sequence as one shingle. A null or empty text, or one of white space, has no shingles and links with nothing. Rows
     with the same id count as one document with all their links; a null id takes no part and is left out. Other columns
-    of docs, whatever their names, are not read. An empty table gives an empty result.
+    of docs, whatever their names, are not read. An empty table gives an empty result. on_opened, if given, is called with
+    the query-group pairs that share a token and with those of them that are opened, for measurements.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -136,6 +140,8 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     star = saved(star.join(star.groupBy("token").agg(F.count("*").alias("m")), "token").where("m > 1"))
     known = star.groupBy("id", "d1").agg(F.sum("m").alias("known"))
     centre = star.join(known, ["id", "d1"]).groupBy("token").agg(F.min(F.struct((-F.col("copies")).alias("few"), (-F.col("known")).alias("unknown"), "id", "n", "d1")).alias("c")).select("token", F.col("c.n").alias("cn"), F.col("c.id").alias("a"), F.col("c.d1").alias("da"))
+    # written before it is joined: a join of two plain tables can split the rows of a token that a large group shares
+    centre = saved(centre)
     near = (
         star.join(centre, "token")
         .where((F.col("a") != F.col("id")) & (F.col("cn") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("cn") * num))
@@ -147,25 +153,32 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     by_group = reps.join(groups, reps["id"] == groups["node"], "left").select("id", "d1", "n", "prefix", F.coalesce("component", "id").alias("g"), F.col("component").isNotNull().alias("many"))
     by_group = saved(by_group)
-    rows = by_group.select("id", "d1", "g", "many", "n", F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("pos", "token"))
+    rows = by_group.select("id", "d1", "g", "many", "n", F.element_at("prefix", -1).alias("last"), F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "token"))
     # tokens of one group only can't lead to another: most rows end here
-    shared = rows.selectExpr("*", "min(g) OVER (PARTITION BY token) AS low", "max(g) OVER (PARTITION BY token) AS high").where("low <> high").drop("low", "high")
-    shared = saved(shared)
+    several = saved(rows.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("token"))
+    shared = saved(rows.join(several, "token", "left_semi"))
     rest = F.col("n") - F.col("pos")
     matrix = shared.groupBy("token", F.col("g").alias("h"), F.col("many").alias("many_h")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("last").alias("most_last"), F.max(rest).alias("most_rest"))
     ratio = F.lit(num / (num + den))
     slack = 1e-6
     # the overlap that the threshold asks for with any member of the group
     need = F.ceil(ratio * (F.col("n") + F.greatest("least_n", F.ceil(F.col("n") * num / den - slack))) - slack)
-    opened = (
+    reached = (
         shared.join(matrix, "token")
         .where((F.col("g") != F.col("h")) & (F.col("last") <= F.col("most_last")) & (F.col("most_n") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("least_n") * num))
-        .where((rest >= need) & (F.col("most_rest") >= need))
         .groupBy("id", "d1", "h", "many_h")
-        .agg(F.count("*").alias("found"), F.least(F.min(rest), F.min("most_rest")).alias("left"), F.max(need).alias("need"))
-        .where(F.col("many_h") | (F.col("found") + F.col("left") - 1 >= F.col("need")))
-        .select("id", "d1", "h")
-    )
+        .agg(
+            F.count("*").alias("found"), F.min(F.col("n") - F.col("p")).alias("behind"), F.least(F.min(rest), F.min("most_rest")).alias("left"), F.min(need).alias("need"),
+            F.bool_or((rest >= need) & (F.col("most_rest") >= need)).alias("first"),
+        )
+    )
+    # all that a member shares stands from the first token found on; no member has more of the query than the tokens found in
+    # the group's union and all behind the query's prefix; a group of one class has also no more than stands behind the last
+    # one found, in the query and in itself
+    opened = reached.where(F.col("first") & (F.col("found") + F.col("behind") >= F.col("need")) & (F.col("many_h") | (F.col("found") + F.col("left") - 1 >= F.col("need")))).select("id", "d1", "h")
+    if on_opened is not None:
+        reached, opened = saved(reached), saved(opened)
+        on_opened(reached, opened)
     x = by_group.select(F.col("id").alias("a"), F.col("d1").alias("da"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
     y = by_group.select(F.col("id").alias("b"), F.col("d1").alias("db"), F.col("n").alias("nb"), F.col("prefix").alias("pb"), F.col("g").alias("h"))
     last = lambda p: F.element_at(p, -1)

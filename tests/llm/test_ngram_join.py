@@ -56,6 +56,44 @@ def test_against_all_pairs(spark, seed, k, num):
     assert got == brute(rows, k, num, 100)
 
 
+@pytest.mark.parametrize(("seed", "k", "num"), [(4, 1, 70), (6, 2, 80)])
+def test_groups_with_members_between_them(spark, seed, k, num):
+    # families of near copies whose members overlap with other families about as much as the threshold asks for
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for f in range(12):
+        base = r.sample(words, 30)
+        for _ in range(r.randint(1, 14)):
+            own = list(base)
+            for _ in range(r.randint(0, 7)):
+                own[r.randrange(30)] = r.choice(words)
+            rows.append((len(rows), " ".join(own[: r.randint(20, 30)])))
+        if f % 3 == 0:
+            words[:20] = base[:20]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join(df, k=k, num=num).collect())
+    assert got == brute(rows, k, num, 100)
+
+
+def test_groups_stay_shut_below_the_bound(spark):
+    # groups of near copies of one text each; every text shares three rare words with one text of the next group
+    r = random.Random(9)
+    words, rows = [f"w{i}" for i in range(5000)], []
+    for f in range(12):
+        base = r.choices(words, k=60)
+        for c in range(4):
+            own = list(base)
+            own[r.randrange(60)] = r.choice(words)
+            rows.append((len(rows), " ".join([*own, *(f"s{f - f % 2}x{c}x{j}" for j in range(3))])))
+    seen = []
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join(df, k=1, num=60, on_opened=lambda reached, opened: seen.append((reached.where("many_h").count(), opened.where("h >= 0").count()))).collect())
+    assert got == brute(rows, 1, 60, 100)
+    (reached, opened), = seen
+    assert reached > 0 and opened == 0
+
+
 def test_odd_rows(spark):
     long = " ".join(str(i) for i in range(30000))
     rows = [(1, None, "x"), (2, "", "x"), (3, " \t\n", None), (4, "One two", "x"), (5, "one  TWO", "x"), (6, "one", "x"), (None, "one", "x")]
