@@ -11,6 +11,7 @@ component, as usual for vectors of unequal norms.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import saved
 
 LINES, FIRST_WIDTH, RATIO, SHARE, REACH = 48, 1.1, 1.12, 0.75, 0.87
-BLOCK, CHUNK = 32768, 1024
+#: Vectors of a block and queries of a chunk that meet in a task, and queries whose windows are looked up at once.
+BLOCK, CHUNK, BATCH = 32768, 16384, 64
 
 
 @lru_cache(maxsize=4096)
@@ -53,48 +55,70 @@ class Block:
         self.at = np.argsort(projected, axis=1, kind="stable")
         self.sorted = np.take_along_axis(projected, self.at, 1)
 
-    def search(self, query: np.ndarray, own: int) -> tuple[list[int], list[float], int]:
-        """Ids and inner products of the k nearest found, nearest first, and how many distinct vectors were verified."""
+    def search(self, queries: np.ndarray, own: list[int]) -> Iterator[tuple[list[int], list[float], int]]:
+        """For each query ids and inner products of the k nearest found, nearest first, and how many distinct vectors were verified."""
+        for lo in range(0, len(queries), BATCH):
+            yield from self._search(queries[lo : lo + BATCH], own[lo : lo + BATCH])
+
+    def _search(self, queries: np.ndarray, own: list[int]) -> Iterator[tuple[list[int], list[float], int]]:
         n, lines, k = len(self.vectors), len(self.at), self.k
-        norm = float(np.linalg.norm(query))
-        centre = self.axes[:, :-1] @ (query / norm)
+        norms = np.linalg.norm(queries, axis=1)
+        centres = self.axes[:, :-1] @ (queries / norms[:, None]).T
         need = max(1, math.ceil(SHARE * lines))
-        single = query.astype(np.float32)
-        # collisions are counted from above: how many windows a vector lies outside of; a line holds each vector once
-        score = np.full(n, -np.inf, dtype=np.float32)
-        open_ = np.ones(n, dtype=bool)
         least = min(n, k + 1 + self.spare)
-        width, done = FIRST_WIDTH, 0
-        while True:
-            reached = [self.sorted[j].searchsorted((centre[j] - width, centre[j] + width)) for j in range(lines)]
-            if done == 0 and width == FIRST_WIDTH:
-                outside = np.bincount(np.concatenate([part for at, (x, y) in zip(self.at, reached, strict=True) for part in (at[:x], at[y:])]), minlength=n)
-            else:
-                outside -= np.bincount(np.concatenate([part for at, (u, v), (x, y) in zip(self.at, last, reached, strict=True) for part in (at[x:u], at[v:y])]), minlength=n)
-            last = reached
-            fresh = np.flatnonzero((outside <= lines - need) & open_)
-            open_[fresh] = False
-            score[fresh] = self.single.take(fresh, 0) @ single
-            done += len(fresh)
-            if done == n:
-                break
-            if done >= least:
-                kth = float(np.partition(score, n - least)[n - least])
-                far = math.sqrt(max(2 - 2 * kth / (norm * self.top_norm), 1e-12))
-                if _passes(round(math.erf(width / far / math.sqrt(2)), 3), lines, need) >= REACH:
+        widths: list[float] = []
+        bounds: list[list[list[int]]] = []
+
+        def reached(step: int) -> list[list[int]]:
+            # where the windows of a round begin and end, for all queries of the batch: first their starts by line, then their ends
+            if step == len(bounds):
+                widths.append(FIRST_WIDTH * RATIO**step)
+                ends = [self.sorted[j].searchsorted(centres[j] + side) for side in (-widths[-1], widths[-1]) for j in range(lines)]
+                bounds.append(np.stack(ends, 1).tolist())
+            return bounds[step]
+
+        for q, (query, norm) in enumerate(zip(queries, norms.tolist(), strict=True)):
+            single = query.astype(np.float32)
+            # collisions are counted from above: how many windows a vector lies outside of; a line holds each vector once
+            open_ = np.ones(n, dtype=bool)
+            found: list[np.ndarray] = []
+            scores: list[np.ndarray] = []
+            best = np.empty(0, dtype=np.float32)
+            done = step = 0
+            while True:
+                at = reached(step)[q]
+                if step == 0:
+                    outside = np.bincount(np.concatenate([part for j, line in enumerate(self.at) for part in (line[: at[j]], line[at[lines + j] :])]), minlength=n)
+                else:
+                    outside -= np.bincount(np.concatenate([part for j, line in enumerate(self.at) for part in (line[at[j] : last[j]], line[last[lines + j] : at[lines + j]])]), minlength=n)
+                last = at
+                fresh = np.flatnonzero((outside <= lines - need) & open_)
+                if len(fresh):
+                    open_[fresh] = False
+                    found.append(fresh)
+                    scores.append(self.single.take(fresh, 0) @ single)
+                    best = np.concatenate([best, scores[-1]])
+                    if len(best) > least:
+                        best = np.partition(best, len(best) - least)[-least:]
+                    done += len(fresh)
+                if done == n:
+                    break
+                if done >= least:
+                    far = math.sqrt(max(2 - 2 * float(best.min()) / (norm * self.top_norm), 1e-12))
+                    if _passes(round(math.erf(widths[step] / far / math.sqrt(2)), 3), lines, need) >= REACH:
+                        break
+                step += 1
+            # single precision chooses, double precision ranks: what may round into the k nearest is kept
+            slack = 1e-5 * norm * self.top_norm
+            kth = float(best.min()) - slack if done >= least else -np.inf
+            near = np.concatenate(found)[np.concatenate(scores) >= kth]
+            exact = np.einsum("ij,j->i", self.vectors[near], query)
+            nearest: dict[int, float] = {}
+            for s, v in sorted((-float(s), int(v)) for i, s in zip(near, exact, strict=True) for v in self.members[i] if v != own[q]):
+                nearest.setdefault(v, -s)
+                if len(nearest) == k:
                     break
-            width *= RATIO
-        # single precision chooses, double precision ranks: what may round into the k nearest is kept
-        slack = 1e-5 * norm * self.top_norm
-        kth = float(np.partition(score, n - least)[n - least]) - slack if done >= least else -np.inf
-        near = np.flatnonzero((score >= kth) & ~open_)
-        exact = np.einsum("ij,j->i", self.vectors[near], query)
-        best: dict[int, float] = {}
-        for s, v in sorted((-float(s), int(v)) for i, s in zip(near, exact, strict=True) for v in self.members[i] if v != own):
-            best.setdefault(v, -s)
-            if len(best) == k:
-                break
-        return list(best), list(best.values()), done
+            yield list(nearest), list(nearest.values()), done
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -113,9 +137,12 @@ def nearest(
     a repeated query id asks with the least of its vectors. With fewer candidates than k all are returned. Other columns
     aren't read; empty tables give an empty result.
 
-    Every vector is indexed, in blocks of about ``block`` vectors dealt by hash; the queries come in chunks of about
-    ``chunk``, and each block meets each chunk in one task, so that a task's memory is bounded by the two sizes.
+    Every vector is indexed, in blocks of about ``block`` vectors dealt by hash; the queries come in chunks of at most about
+    ``chunk``, and each block meets each chunk in one task, so that a task's memory is bounded by the two sizes. A block is
+    indexed once for each chunk; with few blocks there are more chunks, so that all cores have work. How the queries
+    are cut into chunks doesn't change what is found.
     """
+    cores = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
     fine = f"`{vector_column}` IS NOT NULL AND size(`{vector_column}`) > 0 AND forall(`{vector_column}`, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(`{vector_column}`, x -> x <> 0)"
 
     def valid(df: DataFrame) -> DataFrame:
@@ -127,7 +154,7 @@ def nearest(
     shape = base.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("top"))
     sizes = asked.groupBy("dim").agg(F.count("*").alias("m"))
     # how many blocks and chunks, for each number of components
-    grid = F.broadcast(shape.join(sizes, "dim").select("dim", "top", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("m") / chunk).cast("int").alias("chunks")))
+    grid = F.broadcast(shape.join(sizes, "dim").select("dim", "top", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.greatest(F.ceil(F.col("m") / chunk), F.least(F.ceil(F.lit(2 * cores) / F.ceil(F.col("n") / block)), F.ceil(F.col("m") / BATCH))).cast("int").alias("chunks")))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = base.join(grid, "dim").select("dim", "top", "id", "v", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int").alias("block"), every("chunks").alias("chunk"))
     right = asked.join(grid, "dim").select("dim", "id", "v", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), every("blocks").alias("block"))
@@ -136,8 +163,8 @@ def nearest(
         out: tuple[list, list, list] = ([], [], [])
         if stored.num_rows and questions.num_rows:
             index = Block(stored["id"].to_numpy(), _matrix(stored["v"]), float(stored["top"][0].as_py()), k)
-            for q, v in zip(questions["id"].to_pylist(), _matrix(questions["v"]), strict=True):
-                ids, scores, _ = index.search(v, q)
+            asking = questions["id"].to_pylist()
+            for q, (ids, scores, _) in zip(asking, index.search(_matrix(questions["v"]), asking), strict=True):
                 out[0].extend([q] * len(ids))
                 out[1].extend(ids)
                 out[2].extend(scores)
