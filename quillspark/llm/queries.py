@@ -37,22 +37,25 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All turns: a user's turn asks the tool "reply", the assistant's next turn is its result, and a request depends on the one two turns before."""
+    """All turns: a user's turn asks the tool "reply", the assistant's next turn is its result.
+
+    Every fourth request, from the first on, depends on the request after it, if there is one: a link that points forward.
+    The request after it depends on the last but one, all others depend on the one before them.
+    """
     turns = table(spark, sf_dir, "conversations")
     name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     users = turns.where("role = 'user'")
-    before = users.select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("follows")).distinct()
-    calls = users.join(before, ["conv_id", "turn"], "left").select(
-        "conv_id",
-        name(F.col("turn")).alias("call_id"),
-        F.col("turn").alias("position"),
-        F.lit("reply").alias("name"),
-        F.to_json(F.struct("text")).alias("arguments"),
-        F.when(F.col("follows"), F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+    near = users.select("conv_id", F.col("turn").alias("other"), F.explode(F.expr("array(turn - 2, turn + 2, turn + 4)")).alias("turn")).groupBy("conv_id", "turn").agg(F.collect_set("other").alias("others"))
+    has = lambda turn: F.coalesce(F.array_contains("others", turn), F.lit(False))
+    turn, kind = F.col("turn"), F.floor(F.col("turn") / 2) % 4
+    before = F.when(kind == 1, turn - 4).otherwise(turn - 2)
+    depends = F.when((kind == 0) & has(turn + 2), F.array(name(turn + 2))).when(has(before), F.array(name(before))).otherwise(F.array().cast("array<string>"))
+    calls = users.join(near, ["conv_id", "turn"], "left").select(
+        "conv_id", name(turn).alias("call_id"), turn.alias("position"), F.lit("reply").alias("name"), F.to_json(F.struct("text")).alias("arguments"), depends.alias("depends_on")
     )
     results = turns.where("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     linked = link_tool_calls(calls, results, REPLY_SCHEMA)
-    return linked.select("conv_id", "call_id", "n_calls", "n_results", "step", F.array_join("errors", "; ").alias("errors"), "status", "record")
+    return linked.select("conv_id", "call_id", "n_calls", "n_results", "step", "lift", F.array_join("errors", "; ").alias("errors"), "status", "record")
 
 
 OP2_SQL = """
@@ -60,15 +63,18 @@ WITH u AS (SELECT conv_id, turn, min(to_json(text)::VARCHAR) AS q, count(*) AS n
                   min(CASE WHEN text IS NULL THEN 'text: missing' WHEN length(text) < 1 THEN 'text: shorter than 1' WHEN length(text) > 2000 THEN 'text: longer than 2000' ELSE '' END) AS errors
            FROM conversations WHERE role = 'user' GROUP BY ALL),
      a AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content, count(*) AS n_results FROM conversations WHERE role = 'assistant' GROUP BY ALL),
-     j AS (SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.turn, a.turn) AS turn, u.turn AS step, q, n_calls, n_results, content,
-                  EXISTS (SELECT 1 FROM u AS p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2) AS follows, coalesce(errors, '') AS errors
-           FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.turn = a.turn),
+     d AS (SELECT u.*, n.turn IS NOT NULL AND u.turn // 2 % 4 = 0 AS forward, CASE WHEN forward THEN n.turn ELSE b.turn END AS needs
+           FROM u LEFT JOIN u AS n ON n.conv_id = u.conv_id AND n.turn = u.turn + 2
+                  LEFT JOIN u AS b ON b.conv_id = u.conv_id AND b.turn = u.turn - CASE WHEN u.turn // 2 % 4 = 1 THEN 4 ELSE 2 END),
+     j AS (SELECT coalesce(d.conv_id, a.conv_id) AS conv_id, coalesce(d.turn, a.turn) AS turn, CASE WHEN forward THEN needs ELSE d.turn END AS step, forward::INT AS lift, needs,
+                  q, n_calls, n_results, content, coalesce(errors, '') AS errors
+           FROM d FULL JOIN a ON d.conv_id = a.conv_id AND d.turn = a.turn),
      s AS (SELECT *, conv_id || ':' || turn AS call_id,
                   CASE WHEN errors <> '' THEN 'invalid' WHEN n_calls IS NULL THEN 'orphan' WHEN n_calls > 1 OR n_results > 1 THEN 'repeated'
                        WHEN n_results IS NULL THEN 'unanswered' ELSE 'ok' END AS status FROM j)
-SELECT conv_id, call_id, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results, step, errors, status,
+SELECT conv_id, call_id, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results, step, lift, errors, status,
        '{"arguments":' || CASE WHEN step IS NULL THEN 'null' ELSE '{"text":' || q || '}' END || ',"call_id":"' || call_id || '","depends_on":['
-       || CASE WHEN follows THEN '"' || conv_id || ':' || (turn - 2) || '"' ELSE '' END || '],"name":' || CASE WHEN step IS NULL THEN 'null' ELSE '"reply"' END
+       || CASE WHEN needs IS NOT NULL THEN '"' || conv_id || ':' || needs || '"' ELSE '' END || '],"name":' || CASE WHEN step IS NULL THEN 'null' ELSE '"reply"' END
        || ',"result":' || CASE WHEN n_results IS NULL THEN 'null' ELSE to_json(content)::VARCHAR END || ',"status":"' || status || '"}' AS record
 FROM s
 """

@@ -1,6 +1,9 @@
 import json
 import random
 
+import pytest
+
+from quillspark.llm import tool_calls
 from quillspark.llm.tool_calls import link_tool_calls
 
 SCHEMAS = {"add": {"a": {"type": "integer", "required": True, "minimum": 0}, "b": {"type": "number"}}, "say": {"text": {"type": "string", "required": True, "max_length": 5, "enum": ["hi", "hello!"]}}}
@@ -36,23 +39,65 @@ def test_links_and_errors(spark):
     assert json.loads(got[2, "a"].record)["result"] is None and got[1, "h"].n_results == 2
 
 
-def test_order(spark):
+def plain_order(position, parents):
+    """(step, lift) by looking at a call's parents one after the other; None on or behind a cycle."""
+    known, open_ = {}, set()
+
+    def place(n):
+        if n not in known:
+            if n in open_:
+                return None
+            open_.add(n)
+            places = [place(p) for p in parents[n]]
+            open_.discard(n)
+            if any(p is None for p in places):
+                return None  # not kept: another way in may come first
+            top = max(places, default=(-1, 0))
+            known[n] = (top[0], top[1] + 1) if top[0] >= position[n] else (position[n], 0)
+        return known[n]
+
+    return {n: place(n) for n in parents}
+
+
+@pytest.mark.parametrize("at_once", [0, 256])
+def test_order(spark, monkeypatch, at_once):
+    monkeypatch.setattr(tool_calls, "AT_ONCE", at_once)
     r = random.Random(3)
-    calls, edges = [], {}
-    for conv in range(20):
+    calls, want = [], {}
+    for conv in range(24):
         names = [f"n{i}" for i in range(12)]
         rank = names[:]
-        r.shuffle(rank)  # the true order; positions are another one
-        for i, n in enumerate(names):
+        r.shuffle(rank)  # an order that can be kept; positions are another one
+        position, parents = {n: i // 2 for i, n in enumerate(names)}, {}
+        for n in names:
             before = rank[: rank.index(n)]
-            edges[conv, n] = r.sample(before, min(len(before), r.randint(0, 2)))
-            calls.append((conv, n, i // 2, "add", '{"a":1}', edges[conv, n]))
-    calls += [(50, "x", 0, "add", '{"a":1}', ["y"]), (50, "y", 1, "add", '{"a":1}', ["x"]), (50, "z", 2, "add", '{"a":1}', ["y"]), (50, "w", 3, "add", '{"a":1}', []), (51, "s", 0, "add", '{"a":1}', ["s"])]
+            parents[n] = r.sample(before, min(len(before), r.randint(0, 2)))
+        if conv % 4 == 0:
+            parents[rank[3]] = [*parents[rank[3]], rank[5]]
+            parents[rank[5]] = [*parents[rank[5]], rank[3]]
+        calls += [(conv, n, position[n], "add", '{"a":1}', parents[n]) for n in names]
+        want |= {(conv, n): at for n, at in plain_order(position, parents).items()}
+    calls += [(50, "x", 0, "add", '{"a":1}', ["y"]), (50, "y", 1, "add", '{"a":1}', ["x"]), (50, "z", 2, "add", '{"a":1}', ["y"]), (50, "w", 3, "add", '{"a":1}', []), (51, "s", 0, "add", '{"a":1}', ["s"]), (52, "null", None, "add", '{"a":1}', None)]
+    # twenty calls, each of which depends on the next
+    calls += [(60, f"c{i}", i, "add", '{"a":1}', [f"c{i + 1}"] if i < 19 else []) for i in range(20)]
+    want |= {(50, "x"): None, (50, "y"): None, (50, "z"): None, (50, "w"): (3, 0), (51, "s"): None, (52, "null"): (0, 0)} | {(60, f"c{i}"): (19, 19 - i) for i in range(20)}
     got = link(spark, calls, [])
-    for (conv, n), parents in edges.items():
-        for p in parents:
-            assert (got[conv, p].step, got[conv, p].lift) < (got[conv, n].step, got[conv, n].lift)
-    assert [got[50, n].step for n in "xyzw"] == [None, None, None, 3] and got[51, "s"].errors == ["dependency cycle"]
+    assert {k: None if x.step is None else (x.step, x.lift) for k, x in got.items()} == want and None in want.values()
+    for conv, n, _, _, _, parents in calls:
+        assert (got[conv, n].errors == ["dependency cycle"]) == (want[conv, n] is None)
+        for p in parents or []:
+            if want[conv, n]:
+                assert want[conv, p] < want[conv, n]
+
+
+def test_nested_arguments_and_long_texts(spark, monkeypatch):
+    monkeypatch.setitem(SCHEMAS, "put", {"at": {"type": "object", "required": True, "properties": {"x": {"type": "integer", "required": True, "maximum": 9}, "to": {"type": "object", "properties": {"y": {"type": "string"}}}}}})
+    long = "word " * 200000
+    got = link(spark, [(1, "a", 0, "put", '{"at": {"x": 3, "to": {"y": "s"}}}', []), (1, "b", 1, "put", '{"at": {"x": 10, "to": {"y": 1, "z": 2}, "w": 0}}', []), (1, "c", 2, "put", '{"at": {}}', []), (1, "d", 3, "put", '{"at": 4}', []), (1, "e", 4, "say", json.dumps({"text": long}), [])], [(1, "a", long)])
+    assert {k[1]: x.errors for k, x in got.items()} == {
+        "a": [], "b": ["at.to.y: not of type string", "at.to: unexpected z", "at.x: beyond the maximum", "at: unexpected w"], "c": ["at.x: missing"], "d": ["at: not of type object"], "e": ["text: longer than 5", "text: not among the values"],
+    }
+    assert json.loads(got[1, "a"].record)["result"] == long
 
 
 def test_empty(spark):
