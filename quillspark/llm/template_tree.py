@@ -206,7 +206,9 @@ def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).where("doc_id IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
     lines = saved(docs.mapInArrow(per_batch(_lines(min_tokens)), "doc_id long, text_key long, line long, leaf long, hash long"))
     kinds = saved(lines.groupBy("leaf", "hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "text_key", "line")).alias("at")))
+    # written before they are joined, so that the rows of a large leaf or template can be split
     mixed = kinds.groupBy("leaf").agg(F.min("hash").alias("a"), F.max("hash").alias("b"), F.min("least").alias("least"), F.max("most").alias("most")).where("a <> b AND least <> most").select("leaf")
+    mixed = saved(mixed)
     wanted = saved(kinds.join(mixed, "leaf").select("leaf", "hash", "at.*"))
     # one line's tokens for each hash that needs them
     per_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line", "leaf", "hash")).alias("asked"))
@@ -220,6 +222,7 @@ def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     named = lines.join(done, ["leaf", "hash"], "left").withColumn("template_id", F.coalesce("into", "hash"))
     named = saved(named.select("doc_id", "text_key", "line", "leaf", "template_id"))
     counts = named.groupBy("leaf", "template_id", "doc_id").agg(F.count("*").alias("times")).groupBy("leaf", "template_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first")).where(F.col("n_docs") >= F.when(F.col("leaf") == F.col("template_id"), short_docs).otherwise(min_docs))
+    counts = saved(counts)
     return named.join(counts, ["leaf", "template_id"]).select(F.col("doc_id").alias(id_column), "text_key", "line", "template_id", "n_docs", (F.col("doc_id") != F.col("first")).alias("dropped"))
 
 
@@ -227,6 +230,9 @@ def drop_lines(docs: DataFrame, lines: DataFrame, id_column: str = "doc_id", tex
     """docs without the dropped lines of recurring_lines; texts of which no line is left become empty, null texts stay."""
     gone = lines.where("dropped").groupBy(F.col(id_column).alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("line").alias("__lines"))
     keyed = docs.withColumn("__text", F.col(text_column)).withColumn("__key_", F.xxhash64("__text"))
-    kept = F.array_join(F.filter(F.split("__text", "\n", -1), lambda x, i: ~F.array_contains("__lines", i.cast("long"))), "\n")
     joined = keyed.join(gone, (F.col(id_column) == F.col("__id")) & (F.col("__key_") == F.col("__key")), "left")
-    return joined.withColumn(text_column, F.when(F.col("__lines").isNull(), F.col("__text")).otherwise(kept)).drop("__id", "__key", "__key_", "__lines", "__text")
+    # by the set of the numbers that stay, in a time proportional to the lines
+    split = joined.withColumn("__rows", F.when(F.col("__lines").isNotNull(), F.split("__text", "\n", -1)))
+    numbers = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("__rows") - F.lit(1).cast("long")), F.col("__lines"))
+    kept = F.array_join(F.transform(numbers, lambda i: F.get("__rows", i.cast("int"))), "\n")
+    return split.withColumn(text_column, F.when(F.col("__lines").isNull(), F.col("__text")).otherwise(kept)).drop("__id", "__key", "__key_", "__lines", "__text", "__rows")
