@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, maybe_in, saved, small_batches
+from .common import bitmap, maybe_in, saved, settled, small_batches
 from .textbytes import mix, slices
 
 STRENGTH, RUN, PART_CHARS, LEAST_PARTS = 4.0, 3 << 18, 6 << 20, 64
@@ -83,6 +83,11 @@ def _before(places: np.ndarray, sizes: np.ndarray, boundary: int) -> np.ndarray:
     return before
 
 
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part, out of fewer than 2 ** 32, that each hash belongs to."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
 class Run:
     """A run's distinct words (the boundary last) and pairs, and the parts they belong to."""
 
@@ -94,18 +99,23 @@ class Run:
         self.pairs = mix(self.words[self.first] * np.uint64(0xD6E8FEB86659FD93) + self.words[self.second]) & PAIR_MASK
         self.as_word, self.as_context = np.bincount(places, minlength=n + 1), np.bincount(before, minlength=n + 1)
         self.word_order, self.pair_order = np.argsort(self.words, kind="stable"), np.argsort(self.pairs, kind="stable")
-        # a part is a range of hashes
-        edges = np.array([(k << 64) // parts for k in range(parts)], dtype=np.uint64)
-        self.word_cuts = np.append(np.searchsorted(self.words[self.word_order], edges), n + 1)
-        self.pair_cuts = np.append(np.searchsorted(self.pairs[self.pair_order], edges), len(both))
+        # a part is a range of hashes; the parts of the sorted words and pairs
+        self.word_parts, self.pair_parts = _part(self.words[self.word_order], parts), _part(self.pairs[self.pair_order], parts)
+
+    def of_part(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a part's words and pairs, in the order of their hashes."""
+        a, b = np.searchsorted(self.word_parts, [k, k + 1])
+        c, d = np.searchsorted(self.pair_parts, [k, k + 1])
+        return self.word_order[a:b], self.pair_order[c:d]
 
     def sent(self):
-        """For each part with an entry: its number, words, their counts as words and contexts, pairs and their counts."""
-        w, p = self.word_order, self.pair_order
-        for k in range(len(self.word_cuts) - 1):
-            a, b, c, d = self.word_cuts[k], self.word_cuts[k + 1], self.pair_cuts[k], self.pair_cuts[k + 1]
-            if a < b or c < d:
-                yield k, self.words[w[a:b]], self.as_word[w[a:b]].astype(np.uint32), self.as_context[w[a:b]].astype(np.uint32), self.pairs[p[c:d]], self.pair_counts[p[c:d]].astype(np.uint32)
+        """For each part with an entry: its number, words, their counts as words and contexts, pairs and their counts.
+
+        Only parts that the run has something for are looked at, so that its work doesn't grow with their number.
+        """
+        for k in np.union1d(self.word_parts, self.pair_parts).tolist():
+            w, p = self.of_part(k)
+            yield k, self.words[w], self.as_word[w].astype(np.uint32), self.as_context[w].astype(np.uint32), self.pairs[p], self.pair_counts[p].astype(np.uint32)
 
 
 def _send(parts: int, size: int, of_target: bool):
@@ -174,12 +184,12 @@ def cross_entropy_difference(
     difference of both, means per token). Words are runs of bytes other than ASCII white space, A-Z lower-cased. A null or
     empty text, or one of white space, has no tokens, losses of 0 and a score of 0. Repeated rows are counted and scored
     each; rows with a null id are background only. With no target at all its model is uniform. Other columns aren't read; an
-    empty table gives an empty result. docs is read twice and has to come in the same partitions, as files do; if it
-    doesn't, the job fails.
+    empty table gives an empty result. docs is read twice, each time in the same partitions: what isn't read straight from
+    files is written to the checkpoint folder first.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    rows = settled(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")))
     wanted = saved(target.select(F.col(id_column).cast("long").alias("id")).where("id IS NOT NULL").distinct())
     # only texts that may be the target's are shuffled to find those that are
     of_target = maybe_in(rows, "id", bitmap(wanted, "id")).join(wanted, "id", "left_semi").select("id", "text")
@@ -199,7 +209,7 @@ def cross_entropy_difference(
                 by_word, by_pair = np.zeros((4, len(own.words)), dtype=np.int64), np.zeros((2, len(own.pairs)), dtype=np.int64)
                 n = 0
                 for k, w, p in zip(*(answered[c].to_pylist() for c in ("part", "words", "pairs")), strict=True):
-                    at_w, at_p = own.word_order[own.word_cuts[k] : own.word_cuts[k + 1]], own.pair_order[own.pair_cuts[k] : own.pair_cuts[k + 1]]
+                    at_w, at_p = own.of_part(k)
                     by_word[:, at_w] = _unpacked(w, np.int64).reshape(4, len(at_w))
                     by_pair[:, at_p] = _unpacked(p, np.int64).reshape(2, len(at_p))
                     n += len(at_p)

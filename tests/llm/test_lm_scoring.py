@@ -3,6 +3,9 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from quillspark.llm.common import settled
 from quillspark.llm.lm_scoring import cross_entropy_difference
 
 
@@ -52,3 +55,22 @@ def test_empty(spark):
     t = d.select("doc_id").limit(0)
     assert cross_entropy_difference(d.limit(0), t).collect() == []
     assert sorted(x.n_tokens for x in cross_entropy_difference(d, t).collect()) == [1, 2]
+
+
+def test_long_texts_clashing_columns_and_many_parts(spark):
+    r = random.Random(2)
+    docs = [(1, " ".join(r.choices([f"w{j}" for j in range(300)], k=60000))), (2, "w1 w2 w3"), (2, "w1 w2 w3"), (3, None)]
+    d = spark.createDataFrame([(i, t, 7, 8, "x", 0.5) for i, t in docs], "doc_id long, text string, task int, run int, words string, score double")
+    t = spark.createDataFrame([(2, "x")], "doc_id long, words string")
+    got = sorted((x.doc_id, x.n_tokens, x.target_loss, x.background_loss) for x in cross_entropy_difference(d, t, part_chars=40).collect())
+    for g, w in zip(got, sorted(brute(docs, {2}, 4.0)), strict=True):
+        assert g[:2] == w[:2] and math.isclose(g[2], w[2], abs_tol=1e-8) and math.isclose(g[3], w[3], abs_tol=1e-8)
+
+
+def test_rows_in_other_partitions_when_read_again(spark, tmp_path):
+    spark.range(200).selectExpr("id AS doc_id", "concat('w', id % 7, ' w', id % 5) AS text").repartition(5).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    assert settled(read) is read and settled(read.where("doc_id > 5")).count() == 194
+    moving = read.where(F.rand() < 2).repartition(6)
+    assert settled(moving) is not moving
+    assert cross_entropy_difference(moving, read.where("doc_id < 20").select("doc_id"), run=20).count() == 200
