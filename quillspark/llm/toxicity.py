@@ -1,10 +1,11 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
-Features of a text are its distinct words and the distinct beginnings (4, 5 and 6 bytes) of its words, lower-cased, by exact
-64-bit hash. Features are chosen on labelled texts by the significance of their association with the label. A logistic model
-is fitted with an L2 penalty and a counterfactual one: each labelled text that names a group is paired with its copy in which
-the identity terms are swapped within their group of terms, and the squared difference of both scores is penalised. So a
-neutral mention of a group cannot by itself move a score.
+Features of a text are its distinct words and the distinct beginnings (4, 5 and 6 bytes) of its words, lower-cased, each
+hashed to one of 2 ** BITS places; none is left out. A feature's value grows with the significance of its association with
+the label on the labelled texts, so that chance ones weigh little. A logistic model is fitted with an L2 penalty and a
+counterfactual one: every labelled text has a copy, in which the identity terms that it names are swapped within their group
+of terms, or, if it names none, one is mentioned, and the squared difference of both logits is penalised. So a neutral
+mention of a group cannot by itself move a score, whether or not the labelled texts name it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, maybe_in, per_batch, saved, small_batches
-from .textbytes import SPACE, Words, slices, texts_of
+from .textbytes import SPACE, Words, mix, slices, texts_of
 
 #: Terms that may replace each other in a sentence, by language and kind.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -29,27 +30,32 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"), ("negros", "blancos"), ("extranjeros", "españoles"),
 )
 PREFIXES = (4, 5, 6)
+BITS = 20
+#: Rows that are added to a feature's when its significance is taken, and the square of it at which a feature has half its value.
+SMOOTHING, HALF = 10.0, 50.0
 #: Words end at white space and ASCII punctuation.
 BREAKS = SPACE.copy()
 BREAKS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
 def features(words: Words) -> list[np.ndarray]:
-    """For each text the sorted hashes of its distinct features."""
+    """For each text the sorted places of its distinct features."""
     size = words.end - words.start
-    kinds = [words.hash]
+    place = lambda h: (h >> np.uint64(64 - BITS)).astype(np.int32)
+    kinds = [place(words.hash)]
     for n in PREFIXES:
-        # a beginning is not the same feature as a word of its length
-        kinds.append(np.where(size > n, words.span_hash(words.start, np.minimum(words.start + n, words.end)) ^ np.uint64(0x9E3779B97F4A7C15 + n), np.uint64(0)))
+        # a beginning is not the same feature as a word of its length; a word that is no longer has none
+        beginning = mix(words.span_hash(words.start, np.minimum(words.start + n, words.end)) ^ np.uint64(0x9E3779B97F4A7C15 + n))
+        kinds.append(np.where(size > n, place(beginning), np.int32(-1)))
     table = np.stack(kinds, 1)
     out = []
     for lo, hi in zip(words.bounds[:-1], words.bounds[1:], strict=True):
         found = np.unique(table[lo:hi])
-        out.append(found[1:] if len(found) and found[0] == 0 else found)
+        out.append(found[1:] if len(found) and found[0] < 0 else found)
     return out
 
 
-def term_swaps(groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+def term_swaps(groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By a term's word hash: the features it gives a text and those of the term that replaces it."""
     swaps = {}
     for group in groups:
@@ -62,122 +68,102 @@ def term_swaps(groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> dict[int
 
 @dataclass
 class Model:
-    keys: np.ndarray
+    #: what each feature's place adds to the logit
     weights: np.ndarray
     bias: float
 
     def logits(self, words: Words) -> np.ndarray:
-        out = np.full(len(words.bounds) - 1, self.bias)
-        if len(self.keys):
-            for i, own in enumerate(features(words)):
-                at = np.searchsorted(self.keys, own)
-                at[at == len(self.keys)] = 0
-                out[i] += self.weights[at[self.keys[at] == own]].sum()
-        return out
+        return np.array([self.bias + float(self.weights[own].sum()) for own in features(words)])
 
     def scores(self, words: Words) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(words), -40, 40)))
 
 
-def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.ndarray, keys: np.ndarray, l2: float = 0.004, counterfactual: float = 5.0, steps: int = 400) -> Model:
-    """Fits weights of the given feature keys on texts' feature arrays; swapped holds the counterfactual copies' arrays."""
+def values(one: np.ndarray, seen: np.ndarray, share: float) -> np.ndarray:
+    """The value, from 0 to 1, of each feature that seen rows have, one of which are labelled 1; share is that of all rows."""
+    square = (one - seen * share) ** 2 / ((seen + SMOOTHING) * max(share * (1 - share), 1e-9))
+    return square / (square + HALF)
 
-    def csr(arrays):
-        at, row = [], []
-        for i, own in enumerate(arrays):
-            place = np.searchsorted(keys, own)
-            place[place == len(keys)] = 0
-            place = place[keys[place] == own] if len(keys) else place[:0]
-            at.append(place)
-            row.append(np.full(len(place), i))
-        return (np.concatenate(at), np.concatenate(row)) if at else (np.empty(0, int), np.empty(0, int))
 
-    n = len(labels)
-    positive = float(labels.sum())
+def fit(rows: list[np.ndarray], gone: list[np.ndarray], come: list[np.ndarray], labels: np.ndarray, value: np.ndarray, l2: float = 1e-4, counterfactual: float = 5.0, passes: int = 3, rate: float = 0.2) -> Model:
+    """Fits weights row by row, each step scaled by the coordinate's gradients so far.
+
+    rows holds the texts' features; a text's counterfactual copy has come instead of gone, which share no feature.
+    """
+    n, positive = len(labels), float(labels.sum())
+    w = np.zeros(len(value))
     if not n or positive in (0, n):
         share = (positive + 0.5) / (n + 1)
-        return Model(keys[:0], np.empty(0), float(np.log(share / (1 - share))))
-    at, row = csr(rows)
-    pairs = [i for i, s in enumerate(swapped) if s is not None]
-    at_a, row_a = csr([rows[i] for i in pairs])
-    at_b, row_b = csr([swapped[i] for i in pairs])
-    w, b = np.zeros(len(keys)), float(np.log(positive / (n - positive)))
-    moment, second, moment_b, second_b = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for step in range(1, steps + 1):
-        z = b + np.bincount(row, w[at], n)
-        error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels
-        gradient = np.bincount(at, error[row], len(w)) / n * 10 + l2 * w / 10
-        if pairs:
-            gap = np.bincount(row_a, w[at_a], len(pairs)) - np.bincount(row_b, w[at_b], len(pairs))
-            gradient += 2 * counterfactual * (np.bincount(at_a, gap[row_a], len(w)) - np.bincount(at_b, gap[row_b], len(w))) / len(pairs)
-        slope = error.mean() * 10
-        moment, second = 0.9 * moment + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
-        moment_b, second_b = 0.9 * moment_b + 0.1 * slope, 0.999 * second_b + 0.001 * slope**2
-        rate = 0.1 * min(1.0, 2 - 2 * step / (steps + 1))
-        w -= rate * (moment / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        b -= rate * (moment_b / (1 - 0.9**step)) / (np.sqrt(second_b / (1 - 0.999**step)) + 1e-8)
-    return Model(keys, w, float(b))
-
-
-def train(labelled: DataFrame, text_column: str = "text", label_column: str = "toxic", max_features: int = 20000, min_rows: int = 3) -> Model:
-    """Fits the model on the labelled rows, whose number train_on bounds, with max_features features at most.
+        return Model(w, float(np.log(share / (1 - share))))
+    size, size_b = np.full(len(value), 1e-3), 1e-3
+    b = float(np.log(positive / (n - positive)))
+    order = np.random.default_rng(1)
+    for _ in range(passes):
+        for i in order.permutation(n).tolist():
+            own = rows[i]
+            x, at = value[own], w[own]
+            error = 1 / (1 + np.exp(-min(max(b + float(at @ x), -40.0), 40.0))) - labels[i]
+            step = error * x + l2 * at
+            size[own] += step * step
+            w[own] = at - rate * step / np.sqrt(size[own])
+            size_b += error * error
+            b -= rate * error / np.sqrt(size_b)
+            if len(gone[i]) or len(come[i]):
+                gap = float(w[gone[i]] @ value[gone[i]] - w[come[i]] @ value[come[i]])
+                for places, sign in ((gone[i], 1.0), (come[i], -1.0)):
+                    step = counterfactual * gap * sign * value[places]
+                    size[places] += step * step
+                    w[places] -= rate * step / np.sqrt(size[places])
+    return Model(w * value, b)
+
+
+def train(labelled: DataFrame, text_column: str = "text", label_column: str = "toxic", **options) -> Model:
+    """Fits the model on the labelled rows, whose number train_on bounds.
 
     Rows with a null label are left out; a null text is empty. Rows of equal text and label count once. Without both labels
-    the model gives their prior alone.
+    the model gives their prior alone. Options go to fit.
     """
     small_batches(labelled.sparkSession)
     swaps = labelled.sparkSession.sparkContext.broadcast(term_swaps())
     rows = labelled.where(F.col(label_column).isNotNull()).select(F.coalesce(F.col(text_column), F.lit("")).alias("text"), (F.col(label_column) != 0).alias("y"))
-    sample = saved(rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"]))
-    totals = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    ones, zeros = totals.get(True, 0), totals.get(False, 0)
+    sample = saved(rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"])).select("text", "y")
 
-    def count(batch):
-        for lo, hi, texts in slices(batch.column(0)):
-            y = np.asarray(batch.column(1).slice(lo, hi - lo)).astype(bool)
-            own = features(texts.words(BREAKS))
-            keys = np.concatenate(own)
-            of_one = np.repeat(y, [len(x) for x in own])
-            found, place = np.unique(keys, return_inverse=True)
-            one = np.bincount(place, of_one, len(found)).astype(np.int64)
-            yield pa.record_batch({"key": pa.array(found.view(np.int64)), "one": pa.array(one), "zero": pa.array(np.bincount(place, minlength=len(found)) - one)})
-
-    # signed root of the likelihood ratio's size, near enough: difference of rates over its standard error
-    rate_one, rate_zero, pooled = F.col("one") / max(ones, 1), F.col("zero") / max(zeros, 1), (F.col("one") + F.col("zero")) / max(ones + zeros, 1)
-    strength = F.abs(rate_one - rate_zero) / F.sqrt(pooled * (1 - pooled) * (1 / max(ones, 1) + 1 / max(zeros, 1)) + 1e-12)
-    chosen = (
-        sample.select("text", "y").mapInArrow(per_batch(count), "key long, one long, zero long")
-        .groupBy("key").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
-        .where(F.col("one") + F.col("zero") >= min_rows)
-        .withColumn("strength", strength).where("strength >= 3")
-        .orderBy(F.desc("strength"), "key").limit(max_features).select("key").toArrow()
-    )
-    identity = [h for pair in swaps.value.values() for x in pair for h in x.tolist()]
-    keys = np.unique(np.concatenate([chosen["key"].to_numpy().view(np.uint64), np.array(identity, dtype=np.uint64)]))
-    wanted = sample.sparkSession.sparkContext.broadcast(keys)
-
-    def reduce(batch):
-        longs = pa.list_(pa.int64())
+    def places(batch):
+        terms = sorted(swaps.value)
+        lists = pa.list_(pa.int32())
         for lo, hi, texts in slices(batch.column(0)):
             words = texts.words(BREAKS)
-            mine, other = [], []
-            for i, own in enumerate(features(words)):
-                kept = own[np.isin(own, wanted.value, assume_unique=True)]
-                named = [swaps.value[h] for h in np.unique(words.hash[words.bounds[i] : words.bounds[i + 1]]).tolist() if h in swaps.value]
-                mine.append(kept.view(np.int64))
+            mine, gone, come = features(words), [], []
+            for i, own in enumerate(mine):
+                hashes = np.unique(words.hash[words.bounds[i] : words.bounds[i + 1]])
+                named = [swaps.value[h] for h in hashes.tolist() if h in swaps.value]
                 if named:
-                    gone = np.concatenate([a for a, _ in named])
-                    other.append(np.union1d(kept[~np.isin(kept, gone)], np.concatenate([b for _, b in named])).view(np.int64))
+                    out, into = (np.unique(np.concatenate(x)) for x in zip(*named, strict=True))
+                    gone.append(np.setdiff1d(out, into))
+                    come.append(np.setdiff1d(into, own))
                 else:
-                    other.append(None)
-            yield pa.record_batch([batch.column(1).slice(lo, hi - lo), pa.array(mine, longs), pa.array(other, longs)], names=["y", "own", "swapped"])
+                    # the mention of one term, drawn by the text's words
+                    gone.append(own[:0])
+                    come.append(np.setdiff1d(swaps.value[terms[int(hashes.sum(dtype=np.uint64) % np.uint64(len(terms)))]][0], own))
+            yield pa.record_batch([batch.column(1).slice(lo, hi - lo), pa.array(mine, lists), pa.array(gone, lists), pa.array(come, lists)], names=["y", "own", "gone", "come"])
+
+    got = sample.mapInArrow(per_batch(places), "y boolean, own array<int>, gone array<int>, come array<int>").toArrow()
+
+    def arrays(name):
+        flat = got[name].combine_chunks()
+        ends, data = np.asarray(flat.offsets), np.asarray(flat.values)
+        return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-    got = sample.select("text", "y").mapInArrow(per_batch(reduce), "y boolean, own array<long>, swapped array<long>").toArrow()
-    as_keys = lambda x: None if x is None else np.array(x, dtype=np.int64).view(np.uint64)
-    table = [(y, as_keys(a), as_keys(b)) for y, a, b in zip(got["y"].to_pylist(), got["own"].to_pylist(), got["swapped"].to_pylist(), strict=True)]
+    y = np.array(got["y"].to_pylist(), dtype=float)
+    table = list(zip(y.tolist(), arrays("own"), arrays("gone"), arrays("come"), strict=True)) if len(y) else []
     # in an order that doesn't depend on how the rows came
-    table.sort(key=lambda r: (r[0], r[1].tobytes(), b"" if r[2] is None else r[2].tobytes()))
-    return fit([r[1] for r in table], [r[2] for r in table], np.array([float(r[0]) for r in table]), keys)
+    table.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes(), r[3].tobytes()))
+    one, seen = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for label, own, _, _ in table:
+        seen[own] += 1
+        one[own] += label
+    share = float(y.mean()) if len(y) else 0.0
+    return fit([r[1] for r in table], [r[2] for r in table], [r[3] for r in table], np.array([r[0] for r in table]), values(one, seen, share), **options)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_column: str = "text", into: str = "score") -> DataFrame:
