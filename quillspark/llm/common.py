@@ -16,12 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder, without its lineage. That folder is set here only where it is unset."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where none is set, one in the warehouse, which all executors share, or with a local master a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        set_to = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="checkpoint-"))
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if own is None and re.match(r"local(\[|$)", context.master):
+            own = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(own or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder, without its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -33,8 +41,10 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps Arrow batches of whole texts small enough for a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Keeps Arrow batches of whole texts small enough for a Python worker, in sessions that haven't set their size."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, str(rows))
 
 
 def bucket_sums(df: DataFrame, n: int, columns: Iterable[str]) -> list[np.ndarray]:

@@ -85,7 +85,7 @@ def values(one: np.ndarray, seen: np.ndarray, share: float) -> np.ndarray:
     return square / (square + HALF)
 
 
-def fit(rows: list[np.ndarray], gone: list[np.ndarray], come: list[np.ndarray], labels: np.ndarray, value: np.ndarray, l2: float = 1e-4, counterfactual: float = 5.0, passes: int = 3, rate: float = 0.2) -> Model:
+def fit(rows: list[np.ndarray], gone: list[np.ndarray], come: list[np.ndarray], labels: np.ndarray, value: np.ndarray, l2: float = 1e-4, counterfactual: float = 5.0, passes: int = 6, rate: float = 0.2) -> Model:
     """Fits weights row by row, each step scaled by the coordinate's gradients so far.
 
     rows holds the texts' features; a text's counterfactual copy has come instead of gone, which share no feature.
