@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import saved, table
+from quillspark.llm.common import checkpoint_folder, saved, table
 from quillspark.llm.decontaminate import decontaminate
 from quillspark.llm.ngram_join import ngram_join
 from quillspark.llm.packing import pack
@@ -82,11 +82,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents; what a stage keeps is written to the checkpoint folder."""
     docs = table(spark, sf_dir, "documents")
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        saved(spark.range(1))
-        folder = spark.sparkContext.getCheckpointDir()
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
