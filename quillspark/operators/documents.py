@@ -70,18 +70,30 @@ def _parsed(options: Options):
     return parse
 
 
-def converted(docs: DataFrame, options: Options, keep: list[str], content_column: str = "content", path_column: str | None = None) -> DataFrame:
-    """The kept columns, output and error: each document in the format that options name. Null content has nulls in both."""
+META = "title string, author string, date string, section string, manual string"
+
+
+def converted(docs: DataFrame, options: Options, keep: list[str], content_column: str = "content", path_column: str | None = None, meta: bool = False) -> DataFrame:
+    """The kept columns, output and error: each document in the format that options name. Null content has nulls in both.
+
+    With meta the document's title, author, date, section and manual come too, from the same reading of it.
+    """
+    none = (None,) * 5 if meta else ()
 
     def make(content, path: str | None = ""):
         if content is None:
-            return [(None, None)]
+            return [(None, None, *none)]
         try:
-            return [(convert_one(path or "", _bytes(content), options), None)]
+            if not meta:
+                return [(convert_one(path or "", _bytes(content), options), None)]
+            doc = read(path or "", _bytes(content), options)
+            m = doc.meta
+            told = (m.title, m.author, m.date, m.section, m.manual)
+            return [(render(doc, path or "", options), None, *told)]
         except ERRORS as e:
-            return [(None, str(e))]
+            return [(None, str(e), *none)]
 
-    return flat_map(docs, _inputs(docs, content_column, path_column), make, keep, "output string, error string")
+    return flat_map(docs, _inputs(docs, content_column, path_column), make, keep, "output string, error string" + (f", {META}" if meta else ""))
 
 
 def rendered_combined(docs: DataFrame, options: Options, key: str, order: str, content_column: str = "content", path_column: str | None = None) -> DataFrame:
@@ -203,7 +215,7 @@ def metadata(docs: DataFrame, keep: list[str], content_column: str = "content",
         doc = parse(*x)
         return [(doc.meta.title, doc.meta.author, doc.meta.date, doc.meta.section, doc.meta.manual)] if doc else []
 
-    return flat_map(docs, _inputs(docs, content_column, path_column), make, keep, "title string, author string, date string, section string, manual string")
+    return flat_map(docs, _inputs(docs, content_column, path_column), make, keep, META)
 
 
 def definitions(docs: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:

@@ -88,12 +88,15 @@ def element_texts(events: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Dat
     return texts.select(*keys, F.array_join(F.transform("t", lambda x: x["text"]), "").alias("text"))
 
 
-def item_numbers(items: DataFrame, keys: tuple[str, ...] = ("doc_id",), start: int = 1, levels: int = 9) -> DataFrame:
+def item_numbers(items: DataFrame, keys: tuple[str, ...] = ("doc_id",), start: int = 1, levels: int | None = None) -> DataFrame:
     """Items (keys, pos, depth) with their number from start, and the pos of the nearest item before that is less deep.
 
-    depth goes from 0 to levels; for each level the last place of an item no deeper is kept along the window.
+    depth goes from 0 to levels, by default to the greatest there is; for each level the last place of an item no deeper is kept
+    along the window.
     """
+    if levels is None:
+        levels = items.agg(F.max("depth")).first()[0] or 0
     inside = Window.partitionBy(*keys).orderBy("pos")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    last = F.array(*[F.max(F.when(F.col("depth") <= k, F.col("pos"))).over(before) for k in range(levels)])
+    last = F.array(*[F.max(F.when(F.col("depth") <= k, F.col("pos"))).over(before) for k in range(max(levels, 1))])
     return items.withColumn("number", F.row_number().over(inside) + (start - 1)).withColumn("parent_pos", F.when(F.col("depth") > 0, F.get(last, F.col("depth") - 1)))

@@ -440,8 +440,7 @@ def docx_read(spark, sf_dir):
     numbering = F.lit('<w:numbering><w:abstractNum w:abstractNumId="5"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="5"/></w:num></w:numbering>')
     texts = table(spark, sf_dir, "customer").select("c_custkey", body.alias("body"), rels.alias("rels"), numbering.alias("numbering"), F.lit("<cp><dc:title>T</dc:title></cp>").alias("core"))
     zipped = _zipped(texts, ["c_custkey"], {"word/document.xml": "body", "word/_rels/document.xml.rels": "rels", "word/numbering.xml": "numbering", "docProps/core.xml": "core"}).withColumn("path", F.lit("x.docx"))
-    output = D.converted(zipped, Options(to="html"), ["c_custkey", "content", "path"], path_column="path").drop("error")
-    return D.metadata(output, ["c_custkey", "output"], path_column="path").select("c_custkey", "title", "output")
+    return D.converted(zipped, Options(to="html"), ["c_custkey"], path_column="path", meta=True).select("c_custkey", "title", "output")
 
 
 @query(

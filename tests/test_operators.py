@@ -5,8 +5,9 @@ import pytest
 from quillspark.functions import text as T
 from quillspark.markup.convert import Options
 from quillspark.operators import documents as D
+from quillspark.operators import lookups as L
 from quillspark.operators import relational as R
-from quillspark.plans.queries import QUERIES, SQL
+from quillspark.plans import QUERIES, SQL
 from quillspark.sources.files import from_texts, read_files, write_outputs
 from quillspark.streaming import documents as stream
 
@@ -70,3 +71,18 @@ def test_relational(spark):
     parts = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, None)], "k int, o int, text string")
     assert sorted((r.k, r.n_parts, r.text) for r in R.combined(parts, "k", "o").collect()) == [(1, 2, "a\n\nb"), (2, 0, "")]
     assert [bytes(r.content) for r in from_texts(parts.where("o = 2"), "text").collect()] == [b"b"]
+
+
+def test_lookups(spark):
+    levels = spark.createDataFrame([("heading 2",), (" Heading6 x",), ("heading 9",), ("Title page",), ("subtitle",), ("body",), (None,)], "name string")
+    assert [r.n for r in levels.select(L.named_level(levels.name).alias("n")).collect()] == [2, 6, 1, 1, 2, None, None]
+    texts = spark.createDataFrame([(1, "*a_"), (2, ""), (3, None)], "doc_id int, text string")
+    assert sorted((r.doc_id, r.pos, r.char, r.before, r.behind) for r in L.character_contexts(texts).collect()) == [(1, 0, "*", None, "a"), (1, 2, "_", "a", None)]
+    fields = spark.createDataFrame([(1, "k", 0, "a"), (1, "k", 1, None), (2, "k", 0, None)], "doc_id int, key string, pos int, value string")
+    assert sorted((r.doc_id, r.value) for r in L.last_values(fields).collect()) == [(1, "a"), (2, None)]
+    numbers = spark.createDataFrame([("12",), ("1x",), ("",), (None,), ("9" * 30,)], "s string")
+    assert [r.n for r in numbers.select(L.whole_number(numbers.s, 7).alias("n")).collect()] == [12, 7, 7, 7, 7]
+    deep = spark.createDataFrame([(1, i, i) for i in range(14)], "doc_id int, pos int, depth int")
+    assert [r.parent_pos for r in R.item_numbers(deep).orderBy("pos").collect()] == [None, *range(13)]
+    with_meta = D.converted(spark.createDataFrame([(1, "---\ntitle: T\n---\nx"), (2, None)], "id int, content string"), Options(from_="md", to="html"), ["id"], meta=True)
+    assert sorted((r.id, r.title, r.output) for r in with_meta.collect()) == [(1, "T", "<p>x</p>\n"), (2, None, None)]
