@@ -54,7 +54,7 @@ def test_run_against_brute_force(spark, tables):
     lined = []
     for i, t in docs:
         kept = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)
-        if kept == t or kept.strip():
+        if kept == t or kept.strip() and len(kept) >= 0.2 * len(t):
             lined.append((i, kept))
 
     copies = {i for i, _, c in near_copies(lined, 5, 80, 100) if c != i}
