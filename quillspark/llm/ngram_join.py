@@ -159,6 +159,7 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     shared = saved(rows.join(several, "token", "left_semi"))
     rest = F.col("n") - F.col("pos")
     matrix = shared.groupBy("token", F.col("g").alias("h"), F.col("many").alias("many_h")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("last").alias("most_last"), F.max(rest).alias("most_rest"))
+    matrix = saved(matrix)
     ratio = F.lit(num / (num + den))
     slack = 1e-6
     # the overlap that the threshold asks for with any member of the group
@@ -166,18 +167,19 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     reached = (
         shared.join(matrix, "token")
         .where((F.col("g") != F.col("h")) & (F.col("last") <= F.col("most_last")) & (F.col("most_n") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("least_n") * num))
+        .where((rest >= need) & (F.col("most_rest") >= need))
         .groupBy("id", "d1", "h", "many_h")
-        .agg(
-            F.count("*").alias("found"), F.min(F.col("n") - F.col("p")).alias("behind"), F.least(F.min(rest), F.min("most_rest")).alias("left"), F.min(need).alias("need"),
-            F.bool_or((rest >= need) & (F.col("most_rest") >= need)).alias("first"),
-        )
-    )
-    # all that a member shares stands from the first token found on; no member has more of the query than the tokens found in
-    # the group's union and all behind the query's prefix; a group of one class has also no more than stands behind the last
-    # one found, in the query and in itself
-    opened = reached.where(F.col("first") & (F.col("found") + F.col("behind") >= F.col("need")) & (F.col("many_h") | (F.col("found") + F.col("left") - 1 >= F.col("need")))).select("id", "d1", "h")
+        .agg(F.count("*").alias("found"), F.least(F.min(rest), F.min("most_rest")).alias("left"), F.min(need).alias("need"))
+    )
+    reached = saved(reached)
+    # a group of one class has no more of the query than the tokens found and what stands behind the last one in both
+    alone = reached.where(~F.col("many_h") & (F.col("found") + F.col("left") - 1 >= F.col("need"))).select("id", "d1", "h")
+    # no member of a larger one has more than the query's tokens that are in the group's union and all behind the query's prefix
+    inside = reached.where("many_h").select("id", "d1", "h", "need").join(shared.select("id", "d1", "token", "n", "p"), ["id", "d1"]).join(matrix.select("token", "h"), ["token", "h"])
+    larger = inside.groupBy("id", "d1", "h").agg(F.count("*").alias("found"), F.min(F.col("n") - F.col("p")).alias("behind"), F.min("need").alias("need")).where(F.col("found") + F.col("behind") >= F.col("need"))
+    opened = alone.union(larger.select("id", "d1", "h"))
     if on_opened is not None:
-        reached, opened = saved(reached), saved(opened)
+        opened = saved(opened)
         on_opened(reached, opened)
     x = by_group.select(F.col("id").alias("a"), F.col("d1").alias("da"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
     y = by_group.select(F.col("id").alias("b"), F.col("d1").alias("db"), F.col("n").alias("nb"), F.col("prefix").alias("pb"), F.col("g").alias("h"))
